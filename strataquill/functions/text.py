@@ -10,7 +10,7 @@ LOOKALIKE_FROM = "АВЕЅІЈКМНОРСТУХЗаеорсухіјѕԁһԛԝү
 LOOKALIKE_TO = "ABESIJKMHOPCTYX3aeopcyxijsdhqwyABEZHIKMNOPTYXoyvicj"
 
 #: Characters that leave no mark on the page (default-ignorable code points in common use).
-IGNORABLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U000e0000-\U000e0fff"
+IGNORABLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff"
 IGNORABLE_RE = re.compile(f"[{IGNORABLE}]")
 LOOKALIKE_TABLE = {ord(a): ord(b) for a, b in zip(LOOKALIKE_FROM, LOOKALIKE_TO, strict=True)}
 
