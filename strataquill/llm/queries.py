@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquill.llm import sentences, splitting, textform
+from strataquill.llm import leakage, mixing, residue, sentences, splitting, textform
 from strataquill.session import table
 
 
@@ -35,7 +35,51 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.unionByName(paths.select(F.lit("section_path").alias("field"), "evidence_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a held-out passage in runs of 40 or more characters."""
+    hits = leakage.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "retrieval_eval_case"), "case_id", "gold_passage")
+    return hits.where("share >= 0.5").select("doc_id", "case_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and passage with a shared run, and the share of the passage it covers."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "retrieval_eval_case"), "case_id", "gold_passage")
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_mix"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that miss their share though every document of theirs is used as often as allowed."""
+    return _mixture(spark, sf_dir)[1].where("not reachable").select("source")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source in the mix that is used, in whole repeats."""
+    used, report = _mixture(spark, sf_dir)
+    sums = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"))
+    total = sums.agg(F.sum("mixed_tokens").alias("all_tokens"))
+    shares = sums.crossJoin(F.broadcast(total)).select("source", "mixed_tokens", "most_repeats", (F.col("mixed_tokens") / F.col("all_tokens")).alias("mixed_share"))
+    return report.join(shares, "source", "left")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and how often the mix uses it."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are template residue."""
+    return residue.find_residue(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of the segment models on held-out companies."""
+    return residue.validate(table(spark, sf_dir, "documents"), "doc_id", "text", "company_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_validation": p10_validation}
 SQL = {
     "p1_found": "SELECT DISTINCT evidence_id FROM evidence_blocks WHERE length(text) > 1200",
 }
