@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquill.llm import leakage, mixing, residue, sentences, splitting, textform
+from strataquill.llm import leakage, mixing, neardup, residue, sentences, spans, splitting, textform
 from strataquill.session import table
 
 
@@ -21,12 +21,31 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(blocks, keys, "text")
 
 
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "evidence_blocks").where("evidence_type = 'paragraph' and length(text) >= 150").select("evidence_id", "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of paragraphs of similar content."""
+    return neardup.similar_pairs(_paragraphs(spark, sf_dir), "evidence_id", "text")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, class and number of links of every paragraph."""
+    return neardup.groups(*neardup.similar_classes(_paragraphs(spark, sf_dir), "evidence_id", "text"), "evidence_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of the sentences of every paragraph."""
     rows = table(spark, sf_dir, "evidence_blocks").where("evidence_type = 'paragraph'")
     return sentences.split_sentences(rows, ["evidence_id"], "text").select("evidence_id", "end_pos").distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and the other documents that share a run of 120 or more characters with them."""
+    return spans.shared_with(table(spark, sf_dir, "evidence_blocks"), "evidence_id", "document_id", "text")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and section titles that look the same as others but differ in their characters."""
     blocks = table(spark, sf_dir, "evidence_blocks")
@@ -79,7 +98,7 @@ def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.validate(table(spark, sf_dir, "documents"), "doc_id", "text", "company_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_validation": p10_validation}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_validation": p10_validation}
 SQL = {
     "p1_found": "SELECT DISTINCT evidence_id FROM evidence_blocks WHERE length(text) > 1200",
 }
