@@ -78,7 +78,7 @@ def shares_run(a: str, b: str, run: int) -> bool:
     return any(a[i : i + run] == b[j : j + run] for i, j in zip(at.tolist(), other.tolist(), strict=True))
 
 
-def shared_runs(records: DataFrame, key: str, owner_col: str, text_col: str, run: int = 120, window: int = 40, rounds: int = 10, longest: int = 24) -> tuple[DataFrame, DataFrame]:
+def shared_runs(records: DataFrame, key: str, owner_col: str, text_col: str, run: int = 120, window: int = 64, rounds: int = 10, longest: int = 24) -> tuple[DataFrame, DataFrame]:
     """(members: key, owner and class of every record; links: class pairs with a run in common, smaller class first).
 
     Equal texts are one class. Keys are first counted, combined on the map side, and only keys seen under two owners go
