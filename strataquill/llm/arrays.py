@@ -87,3 +87,8 @@ def chunks(texts: Sequence[str], characters: int = 1_000_000):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def hash_threshold(share: float) -> int:
+    """The 64-bit value below which that share of all signed hashes lies."""
+    return min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 32)) * (1 << 32))
