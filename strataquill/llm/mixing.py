@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataquill.llm.arrays import chunks, code_points, kgrams, mix, owners
+from strataquill.llm.arrays import chunks, code_points, hash_threshold, kgrams, mix, owners
 from strataquill.session import written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -90,17 +90,19 @@ class Domains:
         return self._posterior(self.weights, *self.features(texts), len(texts))
 
 
-def measured(docs: DataFrame, key: str, text_col: str, source_col: str, names: Sequence[str], path: str = TOKENIZER, per_source: int = 300) -> DataFrame:
+def measured(docs: DataFrame, key: str, text_col: str, source_col: str, names: Sequence[str], path: str = TOKENIZER, pool: int = 2400) -> DataFrame:
     """(key, source, tokens, member) of every document, ``member`` being its share in each domain of ``names``.
 
-    The classifier is fitted, on at most ``per_source`` texts of each source taken by hash of the key, only if some
+    The classifier is fitted, on about ``pool`` labelled texts picked by a threshold on the hash of the key, only if some
     document has no source of ``names``. One pass, no shuffle. Null texts have no tokens.
     """
     names = list(names)
     rows = docs.select(F.col(key).alias("k"), F.col(source_col).cast("string").alias("s"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     model = None
     if rows.where(F.col("s").isNull() | ~F.col("s").isin(names)).limit(1).count():
-        sample = [r for n in names for r in rows.where(F.col("s") == n).orderBy(F.xxhash64(F.lit(5), "k"), "t").limit(per_source).collect()]
+        known = rows.where(F.col("s").isin(names)).withColumn("h", F.xxhash64(F.lit(5), "k"))
+        share = min(1.0, pool / max(1, known.count()))
+        sample = known.where(F.col("h") <= hash_threshold(share)).orderBy("h").collect()
         model = Domains.fit([r.t for r in sample], [r.s for r in sample], names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = {n: i for i, n in enumerate(names)}
