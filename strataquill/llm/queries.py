@@ -99,6 +99,31 @@ def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_validation": p10_validation}
+_WIDE = "".join(map(chr, (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))))
+_NARROW = "".join(map(chr, (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B))))
+
+
+def _looks(column: str) -> str:
+    """The one form of a text in SQL, from the table of characters that look the same."""
+    mapped = textform._tables()[0]
+    single = sorted((chr(c), form) for c, form in mapped.items() if len(form) == 1 and form != "'")
+    dropped = "".join(chr(c) for c, form in mapped.items() if form == "")
+    return f"nfc_normalize(translate(translate({column}, '{''.join(a for a, _ in single)}', '{''.join(b for _, b in single)}'), '{dropped}', ''))"
+
+
 SQL = {
     "p1_found": "SELECT DISTINCT evidence_id FROM evidence_blocks WHERE length(text) > 1200",
+    "p2_found": """WITH p AS (SELECT DISTINCT evidence_id, regexp_replace(text, '\\s+', '', 'g') AS s FROM evidence_blocks WHERE evidence_type = 'paragraph' AND length(text) >= 150),
+g AS (SELECT DISTINCT evidence_id, substr(s, i, 5) AS g FROM (SELECT evidence_id, s, unnest(range(1, length(s) - 3)) AS i FROM p)), n AS (SELECT evidence_id, count(*) AS n FROM g GROUP BY 1),
+b AS (SELECT a.evidence_id AS x, b.evidence_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.evidence_id < b.evidence_id GROUP BY 1, 2)
+SELECT x AS evidence_id_a, y AS evidence_id_b FROM b JOIN n nx ON nx.evidence_id = x JOIN n ny ON ny.evidence_id = y WHERE c / (nx.n + ny.n - c) >= 0.7""",
+    "p4_found": """WITH w AS (SELECT DISTINCT evidence_id, document_id, substr(text, i, 120) AS s FROM (SELECT evidence_id, document_id, text, unnest(range(1, length(text) - 118)) AS i FROM evidence_blocks WHERE length(text) >= 120))
+SELECT DISTINCT a.evidence_id, b.document_id AS other_document_id FROM w a JOIN w b ON a.s = b.s AND a.document_id <> b.document_id""",
+    "p7_found": f"""WITH t AS (SELECT DISTINCT evidence_id, text, {_looks('text')} AS f FROM evidence_blocks WHERE text IS NOT NULL), m AS (SELECT f FROM t GROUP BY f HAVING count(DISTINCT text) > 1),
+s AS (SELECT DISTINCT evidence_id, e, {_looks('e')} AS f FROM (SELECT evidence_id, unnest(section_path) AS e FROM evidence_blocks))
+SELECT 'text' AS field, evidence_id FROM t WHERE f IN (SELECT f FROM m) UNION SELECT 'section_path', evidence_id FROM s JOIN section_titles ON s.f = {_looks('title')} AND e <> title""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, regexp_replace(lower(translate(text, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS r FROM documents), c AS (SELECT case_id, regexp_replace(lower(translate(gold_passage, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS r FROM retrieval_eval_case),
+cw AS (SELECT case_id, length(r) AS n, i, substr(r, i, 40) AS s FROM (SELECT case_id, r, unnest(range(1, length(r) - 38)) AS i FROM c WHERE length(r) >= 40)), dw AS (SELECT DISTINCT doc_id, substr(r, i, 40) AS s FROM (SELECT doc_id, r, unnest(range(1, length(r) - 38)) AS i FROM d WHERE length(r) >= 40)),
+h AS (SELECT doc_id, case_id, n, i, lead(i) OVER (PARTITION BY doc_id, case_id ORDER BY i) AS j FROM cw JOIN dw USING (s))
+SELECT doc_id, case_id FROM h GROUP BY doc_id, case_id, n HAVING sum(CASE WHEN j IS NULL THEN 40 ELSE least(40, j - i) END) >= 0.5 * n""",
 }
