@@ -63,7 +63,8 @@ def mask_non_terminators(text: Column) -> Column:
     m = _mask_enclosed(F.translate(text, LOOKALIKE_FROM, LOOKALIKE_TO))
     inside = "[.．!?](?=[\\u00ad\\u200b-\\u200d\\u2060\\ufeff]*[A-Za-z0-9０-９/_-])"
     initial = "\\.(?<=(?<![\\p{L}\\p{M}.])\\p{L}\\.)(?=\\s?(?:\\p{Lu}|\\p{L}\\.))"
-    words = "|".join(sorted((w.replace(".", f"[.{MASKED}]") for w in NEVER_FINAL), key=len, reverse=True))
+    spelled = {v for w in NEVER_FINAL for v in (w, w[0].upper() + w[1:])}
+    words = "|".join(sorted((w.replace(".", f"[.{MASKED}]") for w in spelled), key=lambda w: (-len(w), w)))
     short = f"\\.(?<=(?<![\\p{{L}}\\p{{M}}])(?:{words})\\.)(?!{BLANK}*\\z)"
     m = F.regexp_replace(m, f"{inside}|{initial}|{short}", MASKED)
     return F.regexp_replace(m, f"\\.(?<=(?:^|\\n|[.!?।。]{BLANK})[0-9]{{1,4}}\\.)(?={BLANK})", MASKED)

@@ -42,9 +42,9 @@ def boundary_positions(text: str, longest: int) -> tuple[np.ndarray, np.ndarray]
     for at in sorted(penalty):
         if at - last > longest // 4:
             for hard in range(last + step, at, step):
-                while hard > last + 1 and unicodedata.category(text[hard])[0] == "M":
-                    hard -= 1
-                penalty.setdefault(hard, HARD)
+                # Not before a combining mark, unless the whole step consists of them.
+                near = (p for p in range(hard, max(last, hard - step), -1) if unicodedata.category(text[p])[0] != "M")
+                penalty.setdefault(next(near, hard), HARD)
         last = at
     positions = np.array(sorted(penalty), dtype=np.int64)
     return positions, np.array([penalty[p] for p in positions.tolist()])
