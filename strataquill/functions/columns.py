@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 _HALF = "".join(map(chr, range(0x21, 0x7F))) + " "
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
+WORD = "[0-9]+(?:\\.[0-9]+)?%?|[a-z]+[a-z0-9]*"
 TOKEN = "[0-9]+(?:\\.[0-9]+)?%?|[a-z]+[a-z0-9]*|[一-鿿]+"
 
 
@@ -25,10 +26,13 @@ def fold_blanks(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words and numbers; a run of ideographs as its pairs (a single one stays). Null gives an empty array."""
-    runs = F.regexp_extract_all(F.lower(fold_width(F.coalesce(text, F.lit("")))), F.lit(TOKEN), F.lit(0))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[一-鿿]{2}"), pairs(r)).otherwise(F.array(r))))
+    """Pairs of neighbouring ideographs, single ones, then lower-case words and numbers. Null gives an empty array.
+
+    Three passes of built-in regular expressions; a lookahead finds the overlapping pairs.
+    """
+    shown = F.lower(fold_width(F.coalesce(text, F.lit(""))))
+    every = lambda pattern, group: F.regexp_extract_all(shown, F.lit(pattern), F.lit(group))
+    return F.concat(every("(?=([一-鿿]{2}))", 1), every("(?<![一-鿿])[一-鿿](?![一-鿿])", 0), every(WORD, 0))
 
 
 def item_text(text: Column) -> Column:
