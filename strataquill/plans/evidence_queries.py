@@ -243,10 +243,11 @@ def amount_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts of each document's first paragraph that stand in the rest of the company's documents as well."""
+    """Amounts of each document's first paragraph that stand in the rest of the same document as well; other documents are not searched."""
     docs = table(spark, sf_dir, "documents").where("company_id is not null")
-    claims = V.amounts(docs.select("doc_id", F.element_at(F.split("text", "\n\n"), 1).alias("head")), "doc_id", F.col("head"))
-    rest = V.amounts(docs.select("doc_id", F.array_join(F.slice(F.split("text", "\n\n"), 2, 1000), "\n\n").alias("body")), "doc_id", F.col("body"))
+    parts = F.split("text", "\n\n")
+    claims = V.amounts(docs.select("doc_id", F.element_at(parts, 1).alias("head")), "doc_id", F.col("head"))
+    rest = V.amounts(docs.select("doc_id", F.array_join(F.slice(parts, 2, F.size(parts)), "\n\n").alias("body")), "doc_id", F.col("body"))
     return V.presence(claims, "doc_id", rest, "doc_id")
 
 
