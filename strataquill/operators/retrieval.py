@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,11 +73,13 @@ def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query
             for batch in batches:
                 lists = batch.column(1)
                 fits = np.flatnonzero(np.diff(lists.offsets.to_numpy()) == width)
-                taken = batch.take(pa.array(fits))
                 if not len(fits):
                     continue
+                taken = batch.take(pa.array(fits))
+                # In key order, a stable sort by similarity gives ties to the smaller key, so the best k are exact.
+                taken = taken.take(pc.sort_indices(taken.column(0), null_placement="at_start"))
                 sims = np.round(matrix @ unit(taken.column(1).flatten().to_numpy().reshape(-1, width)).T, 10)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, : max(k * 2, k + 16)]
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
                 at = top.ravel()
                 chosen = taken.column(0).take(pa.array(at))
                 asked_for = pa.array([names[i] for i in np.repeat(np.arange(len(names)), top.shape[1])])
