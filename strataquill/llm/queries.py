@@ -94,7 +94,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision and recall of the segment models on held-out companies."""
+    """Precision and recall of the segment models and of the verdict on all texts of held-out companies."""
     return residue.validate(table(spark, sf_dir, "documents"), "doc_id", "text", "company_id")
 
 

@@ -1,5 +1,6 @@
 """Queries and operators do the whole job where the test tables cannot show it."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataquill.operators import retrieval as R
@@ -21,3 +22,13 @@ def test_nearest_takes_the_smaller_of_many_tied_keys(spark):
         asked = spark.createDataFrame([("q", [2.0, 0.0])], "q string, qv array<double>")
         got = R.nearest(df, "k", "v", asked, "q", "qv", 10).orderBy("rank").select(F.col("k")).collect()
         assert [r.k for r in got] == [name(i) for i in range(10)]
+
+
+def test_validation_scores_every_held_out_text(spark):
+    residue = pytest.importorskip("strataquill.llm.residue")
+    docs = spark.range(2300).select("id", F.lit("公司公告\n本期净利润增长了百分之五，公司经营稳定。").alias("text"), F.lit("C1").alias("host"))
+    got = {r.label: (r.segments, r.precision, r.recall) for r in residue.validate(docs, "id", "text", "host", held_out=1).collect()}
+    # All hosts are held out, so the model is blank: every segment scores 0, above the thresholds of find_residue.
+    assert got["furniture"] == (2300, 0.5, 1.0) and got["placeholder"] == (0, 0.0, 0.0) and got["text"] == (0, 0.0, 0.0)
+    late = residue.labelled(["公司经营稳定。" * 80 + "\nLorem ipsum dolor sit amet."])
+    assert all(labels[1] for _, labels in late)
