@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquill.llm import leakage, mixing, neardup, residue, sentences, spans, splitting, textform
+from strataquill.operators import evaluation
+from strataquill.plans import retrieval_queries
 from strataquill.session import table
 
 
@@ -65,6 +67,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "retrieval_eval_case"), "case_id", "gold_passage")
 
 
+def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the search by question against the documents that hold the gold passage, for every case that has any.
+
+    Only the first 10 ranks count in the scores, and the search gives more; a document beyond them is a miss.
+    """
+    return evaluation.case_scores(retrieval_queries.bm25_search(spark, sf_dir), p8_found(spark, sf_dir), "case_id", ["doc_id"])
+
+
+def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the search scores over cases, in total and by section."""
+    sections = table(spark, sf_dir, "retrieval_eval_case").select("case_id", "section_id")
+    return evaluation.macro_means(search_scores(spark, sf_dir).join(sections, "case_id"), ["section_id"], ["hit", "coverage", "rr10"])
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mixture(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_mix"))
 
@@ -98,7 +114,7 @@ def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.validate(table(spark, sf_dir, "documents"), "doc_id", "text", "company_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_validation": p10_validation}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "search_scores": search_scores, "search_metrics": search_metrics, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_validation": p10_validation}
 _WIDE = "".join(map(chr, (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))))
 _NARROW = "".join(map(chr, (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B))))
 
@@ -127,3 +143,8 @@ cw AS (SELECT case_id, length(r) AS n, i, substr(r, i, 40) AS s FROM (SELECT cas
 h AS (SELECT doc_id, case_id, n, i, lead(i) OVER (PARTITION BY doc_id, case_id ORDER BY i) AS j FROM cw JOIN dw USING (s))
 SELECT doc_id, case_id FROM h GROUP BY doc_id, case_id, n HAVING sum(CASE WHEN j IS NULL THEN 40 ELSE least(40, j - i) END) >= 0.5 * n""",
 }
+_SEARCH = f"""{retrieval_queries._BM25}, gold AS ({SQL['p8_found']}), f AS (SELECT g.case_id, r.rank FROM gold g LEFT JOIN r_a r USING (case_id, doc_id)), ks(k) AS (VALUES (1), (5), (10)), w AS (SELECT case_id, count(*) AS wanted, min(rank) AS first FROM f GROUP BY 1),
+sc AS (SELECT w.case_id, k, wanted, first, (SELECT count(*) FROM f WHERE f.case_id = w.case_id AND f.rank <= k) AS h, (SELECT count(*) FROM r_a r WHERE r.case_id = w.case_id AND r.rank <= k) AS n FROM w, ks),
+scores AS (SELECT case_id, k, (h > 0)::INT AS hit, (h = wanted)::INT AS all_hit, round(h / wanted, 6) AS coverage, round(CASE WHEN n = 0 THEN 0 ELSE h / n END, 6) AS "precision", round(CASE WHEN first <= 10 THEN 1.0::DOUBLE / first ELSE 0 END, 6) AS rr10 FROM sc)"""
+SQL["search_scores"] = f'{_SEARCH} SELECT case_id, k, hit, all_hit, coverage, "precision", rr10 FROM scores'
+SQL["search_metrics"] = f"{_SEARCH} SELECT CASE WHEN grouping(section_id) = 1 THEN 'all' ELSE section_id END AS section_id, k, count(*) AS cases, round(avg(hit), 6) AS hit, round(avg(coverage), 6) AS coverage, round(avg(rr10), 6) AS rr10 FROM scores JOIN (SELECT case_id, section_id FROM retrieval_eval_case) USING (case_id) GROUP BY GROUPING SETS ((k), (section_id, k))"

@@ -123,7 +123,7 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Cases asked for by outcome: the evidence cited by a run against what the first run cited."""
+    """Made-up ranks and targets, the first paragraphs of each document, to try the scores on; `search_scores` scores a search."""
     ranked = _ranked(spark, sf_dir)
     gold = ranked.where("rank <= 2 and pmod(length(evidence_id) + rank, 2) = 1").select("case_id", "evidence_id")
     shifted = ranked.withColumn("rank", F.col("rank") + F.when(F.ascii("evidence_id") % 2 == 0, 0).otherwise(1))
