@@ -25,23 +25,50 @@ def build_session(name: str = "strataquill", cores: int | str = "*", shuffle_par
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, read from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop) a temporary folder of this machine is made and set for the session.
+    Only a local session, whose executors are threads of this process, may leave it unset and is given a temporary folder;
+    on a cluster a missing setting raises ValueError, as a folder of one machine would be lost to the others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="strataquill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a cut in the lineage that survives the loss of executors."""
+    """``df`` written to the shared folder and read back: a cut in the lineage that survives the loss of executors.
+
+    The table is removed when the application ends, or before by ``remove_written``.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written to shared folders, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Removes the tables ``written`` so far in this application; returns how many. No frame built on them may be used after."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        system, place = _file_system(spark, path)
+        system.delete(place, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a scale-factor directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

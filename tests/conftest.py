@@ -10,10 +10,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from strataquill.session import build_session
 
-    session = build_session("tests", 4, 4, **{"spark.driver.memory": "4g"})
+    shared = tmp_path_factory.mktemp("shared").as_uri()
+    session = build_session("tests", 4, 4, **{"spark.driver.memory": "4g", "spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
