@@ -70,49 +70,48 @@ def similar_classes(docs: DataFrame, key: str, text_col: str, k: int = 5, thresh
 
     Candidates share a table key and have sketches within ``slack`` standard deviations of what ``threshold`` gives; at a
     similarity of 0.70 the default ten collections of two meet with probability 0.987, at 0.75 with 0.996, and the
-    sketch keeps 0.9995 of them. Copies are one class, and each batch sends a class on once, so a group of copies with a
-    third of all rows costs one row per batch and table. Null texts and keys are left out; texts too short for a single
-    sequence are members of a class without links; repeated rows count once.
+    sketch keeps 0.9995 of them. Copies are one class; classes are made distinct before their keys are worked out, so a
+    group of copies with a third of all rows costs one row per task in that shuffle and one row per table after it. Null
+    texts and keys are left out; texts too short for a single sequence are members of a class without links; repeated
+    rows count once.
     """
-    rows_in = docs.where(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("__key"), F.col(text_col).alias("__text"))
-    classed = rows_in.withColumn("__class", F.xxhash64(squeezed("__text")))
+    rows_in = docs.where(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("__key"), squeezed(text_col).alias("__text"))
+    classed = rows_in.withColumn("__class", F.xxhash64("__text"))
     members = classed.select(F.col("__key").alias(key), F.col("__class").alias("class_id")).distinct()
+    texts = written(classed.select("__class", "__text").distinct(), "neardup-classes")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, firsts = np.unique(batch.column(0).to_numpy(), return_index=True)
-            texts = batch.column(1).take(pa.array(firsts)).to_pylist()
-            for lo, hi in chunks(texts, 500_000):
-                has, keys, sketch = signatures(texts[lo:hi], k, collections, rows)
+            ids, shown = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for lo, hi in chunks(shown, 500_000):
+                has, keys, sketch = signatures(shown[lo:hi], k, collections, rows)
                 if len(has):
                     n = keys.shape[1]
                     columns = (keys.ravel(), np.repeat(ids[lo:hi][has], n), np.repeat(sketch, n))
                     yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["t", "c", "s"])
 
-    tables = classed.select("__class", "__text").mapInArrow(emit, "t long, c long, s long")
+    tables = texts.mapInArrow(emit, "t long, c long, s long")
     agree = 64 * (1 + threshold) / 2
     least = int(agree - slack * np.sqrt(agree * (1 - threshold) / 2))
     a, b = tables.alias("a"), tables.alias("b")
     met = a.join(b, F.expr(f"a.t = b.t and a.c < b.c and bit_count(a.s ^ b.s) <= {64 - least}"))
     pairs = written(met.select(F.col("a.c").alias("class_a"), F.col("b.c").alias("class_b")).distinct(), "neardup-pairs")
 
-    wanted = pairs.select(F.explode(F.array("class_a", "class_b")).alias("__class")).distinct()
-    texts = classed.join(wanted, "__class", "left_semi").select("__class", squeezed("__text").alias("__text")).distinct()
     sided = pairs.join(texts.select(F.col("__class").alias("class_a"), F.col("__text").alias("ta")), "class_a").join(texts.select(F.col("__class").alias("class_b"), F.col("__text").alias("tb")), "class_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             scores = []
-            texts = batch.column(2).to_pylist() + batch.column(3).to_pylist()
+            sides = batch.column(2).to_pylist() + batch.column(3).to_pylist()
             seen: dict[str, np.ndarray] = {}
-            fresh = list(dict.fromkeys(texts))
+            fresh = list(dict.fromkeys(sides))
             for lo, hi in chunks(fresh, 500_000):
                 hashed, begin = shingles(fresh[lo:hi], k)
                 for i in range(lo, hi):
                     seen[fresh[i]] = np.unique(hashed[begin[i - lo] : begin[i - lo + 1]])
             for i in range(n):
-                scores.append(jaccard(seen[texts[i]], seen[texts[n + i]]))
+                scores.append(jaccard(seen[sides[i]], seen[sides[n + i]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["class_a", "class_b", "similarity"])
 
     links = sided.select("class_a", "class_b", "ta", "tb").mapInArrow(verify, "class_a long, class_b long, similarity double").where(F.col("similarity") >= threshold)
@@ -131,18 +130,19 @@ def similar_pairs(docs: DataFrame, key: str, text_col: str, **settings) -> DataF
     return both.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
 
 
-def groups(members: DataFrame, links: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+def groups(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """(key, class_id, group_id, links): the group of every text, joined by links directly or by way of others.
 
     Alternating large-star and small-star steps over the class links, each written to the shared folder; the least
-    class of a group is its id, and a class without links is its own group. ``links`` counts the classes linked to it.
+    class of a group is its id, and a class without links is its own group. The steps go on until they change nothing,
+    which takes about the square of the logarithm of the longest chain. ``links`` counts the classes linked to each.
     """
     links = written(links.select("class_a", "class_b"), "neardup-links")
     both = links.unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
     degree = both.groupBy("class_a").agg(F.count("*").alias("links")).withColumnRenamed("class_a", "class_id")
     edges = links.select(F.greatest("class_a", "class_b").alias("u"), F.least("class_a", "class_b").alias("v")).distinct()
     state = None
-    for _ in range(rounds):
+    while True:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
