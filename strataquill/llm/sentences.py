@@ -7,6 +7,8 @@ terminators of each script. As placeholders keep all positions, the sentences ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +26,23 @@ ENDS = ".。．！？｡।॥!?…"
 BLANKS = "              　\t\n\r"
 MASKED, AFTER_END, AFTER_TOLD_END, CUT = "", "", "", ""
 CJK = "\\u2e80-\\u9fff\\uf900-\\ufaff"
+BLOCK = 256
 THAI = "[\\u0e01-\\u0e4e]"
 BLANK = "[\\s\\u00a0\\u2000-\\u200a\\u202f\\u3000]"
 
 
 def _token_pattern() -> str:
-    """Enclosed stretches (with the colon before them) as whole tokens, everything else as runs."""
+    """Enclosed stretches (with the colon before them) as whole tokens, everything else as runs.
+
+    Repeats of groups are possessive: they never need to give anything back, and are matched in a loop, so that a stretch
+    of any length takes no stack.
+    """
     esc = lambda c: "\\" + c if c in "()[]" else c
     one = []
     for o, c in PAIRS:
         inner = f"[^{esc(o)}{esc(c)}]*"
-        one.append(f"{esc(o)}{inner}(?:{esc(o)}{inner}{esc(c)}{inner})*{esc(c)}")
-    one += ["„[^„“”]*[“”]", '"[^"\\n]*(?:\\n(?!\\s*\\n)[^"\\n]*)*"']
+        one.append(f"{esc(o)}{inner}(?:{esc(o)}{inner}{esc(c)}{inner})*+{esc(c)}")
+    one += ["„[^„“”]*[“”]", '"[^"\\n]*(?:\\n(?!\\s*\\n)[^"\\n]*)*+"']
     enclosed = "|".join(one)
     return f"[:：]{BLANK}?(?:{enclosed})|{enclosed}|[^“‘«「『（(\\[【《〈„\":：]+|[\\s\\S]"
 
@@ -91,6 +98,16 @@ def _end_pattern() -> str:
     return f"(?=[{ENDS}{AFTER_END}{AFTER_TOLD_END}])(?:{'|'.join(at_mark)})|(?={BLANK})(?:{thai}|{line})"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(parts: Column, n: Callable[[Column], Column]) -> Column:
+    """The sum of ``n`` over the elements before each one, and over all of them as the last element."""
+    return F.aggregate(parts, F.array(F.lit(0)), lambda done, x: F.array_append(done, F.element_at(done, -1) + n(x)))
+
+
 def sentence_spans(text: Column) -> Column:
     """array<struct<start_pos, end_pos>> of the sentences: characters before the first one, and up to the last one.
 
@@ -99,12 +116,22 @@ def sentence_spans(text: Column) -> Column:
     chunks = F.split(F.regexp_replace(mask_non_terminators(text), f"(?:{_end_pattern()})", "$0" + CUT), CUT)
     size = lambda c: F.struct(F.length(c).alias("n"), F.length(F.rtrim(c, F.lit(BLANKS))).alias("kept"), F.length(F.ltrim(c, F.lit(BLANKS))).alias("led"))
 
-    def add(state: Column, chunk: Column) -> Column:
-        span = F.struct((state["at"] + chunk["n"] - chunk["led"]).alias("start_pos"), (state["at"] + chunk["kept"]).alias("end_pos"))
-        return F.struct((state["at"] + chunk["n"]).alias("at"), F.when(chunk["kept"] > 0, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    sizes = F.transform(chunks, size)
+
+    # Positions are running sums, taken within blocks and over blocks, so that no array is copied once per sentence.
+    def spans_of(block: Column, before: Column) -> Column:
+        def span(chunk: Column, i: Column, sums: Column) -> Column:
+            at = before + F.get(sums, i)
+            return F.struct((at + chunk["n"] - chunk["led"]).alias("start_pos"), (at + chunk["kept"]).alias("end_pos"), chunk["kept"].alias("kept"))
+
+        shown = _let(_running(block, lambda c: c["n"]), lambda sums: F.transform(block, lambda c, i: span(c, i, sums)))
+        return F.transform(F.filter(shown, lambda x: x["kept"] > 0), lambda x: F.struct(x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos")))
+
+    def blocks_of(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda i: F.slice(parts, i * BLOCK + 1, F.lit(BLOCK)))
 
-    none = F.expr("cast(array() as array<struct<start_pos:int,end_pos:int>>)")
-    return F.aggregate(F.transform(chunks, size), F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda s: s["spans"])
+    total = lambda block: F.aggregate(block, F.lit(0), lambda n, c: n + c["n"])
+    return _let(_let(sizes, blocks_of), lambda blocks: _let(_running(blocks, total), lambda sums: F.flatten(F.transform(blocks, lambda block, i: spans_of(block, F.get(sums, i))))))
 
 
 def split_sentences(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:

@@ -114,6 +114,21 @@ def test_sentences_odd_input(spark):
     assert [r.end_pos for r in rows if r.id == "4"] == [4]
 
 
+def test_sentences_of_long_quotations(spark):
+    """Enclosed stretches of any length and nesting take no stack; positions hold in texts of very many sentences."""
+    quoted = "“" + "引文一句。\n" * 17000 + "”他说。"
+    straight = '"' + "one line.\n" * 10000 + '" he said. Then it ended.'
+    nested = "(" + "(a)" * 50000 + ") done. Next."
+    opened = "(" * 50000 + "It ends. But not here."
+    many = "Short one. " * 60000
+    texts = [quoted, straight, nested, opened, many]
+    rows = sentences.split_sentences(frame(spark, texts), ["id"], "text").collect()
+    ends = {i: sorted(r.end_pos for r in rows if r.id == str(i)) for i in range(len(texts))}
+    assert ends[0] == [len(quoted)] and ends[2] == [len(nested) - 6, len(nested)] and ends[3] == [50008, len(opened)]
+    assert ends[1] == [straight.index(" Then"), len(straight)]
+    assert ends[4] == [10 + 11 * i for i in range(60000)]
+
+
 # One form -----------------------------------------------------------------------------------------------------------
 
 
