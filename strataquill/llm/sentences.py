@@ -108,10 +108,11 @@ def _running(parts: Column, n: Callable[[Column], Column]) -> Column:
     return F.aggregate(parts, F.array(F.lit(0)), lambda done, x: F.array_append(done, F.element_at(done, -1) + n(x)))
 
 
-def sentence_spans(text: Column) -> Column:
+def sentence_spans(text: Column, with_text: bool = False) -> Column:
     """array<struct<start_pos, end_pos>> of the sentences: characters before the first one, and up to the last one.
 
-    Null gives null; a text of blanks only gives an empty array; a text without any end mark is one sentence.
+    ``with_text`` adds ``sentence``, cut from the stored text block by block, as a cut of the whole text counts its
+    characters from the start each time. Null gives null; a text of blanks only gives an empty array; a text without any end mark is one sentence.
     """
     chunks = F.split(F.regexp_replace(mask_non_terminators(text), f"(?:{_end_pattern()})", "$0" + CUT), CUT)
     size = lambda c: F.struct(F.length(c).alias("n"), F.length(F.rtrim(c, F.lit(BLANKS))).alias("kept"), F.length(F.ltrim(c, F.lit(BLANKS))).alias("led"))
@@ -120,12 +121,18 @@ def sentence_spans(text: Column) -> Column:
 
     # Positions are running sums, taken within blocks and over blocks, so that no array is copied once per sentence.
     def spans_of(block: Column, before: Column) -> Column:
-        def span(chunk: Column, i: Column, sums: Column) -> Column:
-            at = before + F.get(sums, i)
-            return F.struct((at + chunk["n"] - chunk["led"]).alias("start_pos"), (at + chunk["kept"]).alias("end_pos"), chunk["kept"].alias("kept"))
+        def span(chunk: Column, i: Column, sums: Column, part: Column | None) -> Column:
+            start, end = F.get(sums, i) + chunk["n"] - chunk["led"], F.get(sums, i) + chunk["kept"]
+            shown = [] if part is None else [F.substring(part, start + 1, end - start).alias("sentence")]
+            return F.struct((before + start).alias("start_pos"), (before + end).alias("end_pos"), *shown)
 
-        shown = _let(_running(block, lambda c: c["n"]), lambda sums: F.transform(block, lambda c, i: span(c, i, sums)))
-        return F.transform(F.filter(shown, lambda x: x["kept"] > 0), lambda x: F.struct(x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos")))
+        def all_of(sums: Column, part: Column | None) -> Column:
+            return F.filter(F.transform(block, lambda c, i: span(c, i, sums, part)), lambda x: x["end_pos"] > x["start_pos"])
+
+        if not with_text:
+            return _let(_running(block, lambda c: c["n"]), lambda sums: all_of(sums, None))
+        part = lambda sums: F.substring(text, before + 1, F.element_at(sums, -1))
+        return _let(_running(block, lambda c: c["n"]), lambda sums: _let(part(sums), lambda p: all_of(sums, p)))
 
     def blocks_of(parts: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda i: F.slice(parts, i * BLOCK + 1, F.lit(BLOCK)))
@@ -134,8 +141,8 @@ def sentence_spans(text: Column) -> Column:
     return _let(_let(sizes, blocks_of), lambda blocks: _let(_running(blocks, total), lambda sums: F.flatten(F.transform(blocks, lambda block, i: spans_of(block, F.get(sums, i))))))
 
 
-def split_sentences(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """One row per sentence: the key columns, sentence_index, start_pos, end_pos and the sentence as stored.
+def split_sentences(df: DataFrame, keys: list[str], text_col: str, with_text: bool = True) -> DataFrame:
+    """One row per sentence: the key columns, sentence_index, start_pos, end_pos and (``with_text``) the sentence as stored.
 
     No shuffle and no Python: a projection over the scan. Rows with null or blank text give no rows; repeated rows
     repeat. Only the named columns of ``df`` are read; a key named like an output column raises ValueError.
@@ -144,5 +151,5 @@ def split_sentences(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     if clash:
         raise ValueError(f"key columns named like output columns: {sorted(clash)}")
     rows = df.select(*keys, F.col(text_col).alias("__text")).where("__text is not null")
-    spans = rows.select(*keys, "__text", F.posexplode(sentence_spans(F.col("__text"))).alias("sentence_index", "__span"))
-    return spans.select(*keys, "sentence_index", "__span.start_pos", "__span.end_pos", F.expr("substring(__text, __span.start_pos + 1, __span.end_pos - __span.start_pos)").alias("sentence"))
+    spans = rows.select(*keys, F.posexplode(sentence_spans(F.col("__text"), with_text)).alias("sentence_index", "__span"))
+    return spans.select(*keys, "sentence_index", "__span.*")
