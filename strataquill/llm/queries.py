@@ -40,7 +40,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of the sentences of every paragraph."""
     rows = table(spark, sf_dir, "evidence_blocks").where("evidence_type = 'paragraph'")
-    return sentences.split_sentences(rows, ["evidence_id"], "text").select("evidence_id", "end_pos").distinct()
+    return sentences.split_sentences(rows, ["evidence_id"], "text", with_text=False).select("evidence_id", "end_pos").distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_with(table(spark, sf_dir, "evidence_blocks"), "evidence_id", "document_id", "text")
 
 
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every record lies in runs of 120 or more characters that a record of another document holds too."""
+    out = spans.shared_shares(table(spark, sf_dir, "evidence_blocks"), "evidence_id", "document_id", "text")
+    return out.select("evidence_id", "chars", "shared_chars", F.round("share", 9).alias("share"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and section titles that look the same as others but differ in their characters."""
     blocks = table(spark, sf_dir, "evidence_blocks")
@@ -114,7 +120,7 @@ def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.validate(table(spark, sf_dir, "documents"), "doc_id", "text", "company_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "search_scores": search_scores, "search_metrics": search_metrics, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_validation": p10_validation}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "search_scores": search_scores, "search_metrics": search_metrics, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_validation": p10_validation}
 _WIDE = "".join(map(chr, (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))))
 _NARROW = "".join(map(chr, (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B))))
 
@@ -135,6 +141,9 @@ b AS (SELECT a.evidence_id AS x, b.evidence_id AS y, count(*) AS c FROM g a JOIN
 SELECT x AS evidence_id_a, y AS evidence_id_b FROM b JOIN n nx ON nx.evidence_id = x JOIN n ny ON ny.evidence_id = y WHERE c / (nx.n + ny.n - c) >= 0.7""",
     "p4_found": """WITH w AS (SELECT DISTINCT evidence_id, document_id, substr(text, i, 120) AS s FROM (SELECT evidence_id, document_id, text, unnest(range(1, length(text) - 118)) AS i FROM evidence_blocks WHERE length(text) >= 120))
 SELECT DISTINCT a.evidence_id, b.document_id AS other_document_id FROM w a JOIN w b ON a.s = b.s AND a.document_id <> b.document_id""",
+    "p4_shares": """WITH r AS (SELECT DISTINCT evidence_id, document_id, text FROM evidence_blocks WHERE text IS NOT NULL), w AS (SELECT evidence_id, document_id, text, i, substr(text, i, 120) AS s FROM (SELECT *, unnest(range(1, length(text) - 118)) AS i FROM r WHERE length(text) >= 120)),
+m AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT document_id) > 1), h AS (SELECT evidence_id, text, i, lead(i) OVER (PARTITION BY evidence_id, document_id, text ORDER BY i) AS j FROM w WHERE s IN (SELECT s FROM m)), c AS (SELECT evidence_id, text, sum(least(120, coalesce(j - i, 120))) AS n FROM h GROUP BY 1, 2)
+SELECT evidence_id, length(text) AS chars, coalesce(n, 0)::BIGINT AS shared_chars, round(coalesce(n / length(text), 0), 9) AS share FROM (SELECT DISTINCT evidence_id, text FROM r) LEFT JOIN c USING (evidence_id, text)""",
     "p7_found": f"""WITH t AS (SELECT DISTINCT evidence_id, text, {_looks('text')} AS f FROM evidence_blocks WHERE text IS NOT NULL), m AS (SELECT f FROM t GROUP BY f HAVING count(DISTINCT text) > 1),
 s AS (SELECT DISTINCT evidence_id, e, {_looks('e')} AS f FROM (SELECT evidence_id, unnest(section_path) AS e FROM evidence_blocks))
 SELECT 'text' AS field, evidence_id FROM t WHERE f IN (SELECT f FROM m) UNION SELECT 'section_path', evidence_id FROM s JOIN section_titles ON s.f = {_looks('title')} AND e <> title""",

@@ -2,136 +2,252 @@
 
 Rounds rename the symbols of a text: equal neighbours become one run symbol, then pairs of a "left" and a "right" symbol
 become one. A name is a hash of what it stands for and the side of a symbol a bit of its name, so all texts of all
-partitions are renamed alike without exchanging anything, and equal substrings get the same symbols but for a few at
-their ends. Only symbols up to a length that grows with the round are renamed, which bounds how far a symbol depends on
-its surroundings. Symbols of the last round reveal shared spans; the texts themselves verify them.
+partitions are renamed alike without exchanging a dictionary. Only symbols up to a length that grows with the round are
+renamed. A last round names phrases of consecutive symbols; these high-level symbols are the keys that are joined.
+
+With every symbol goes the stretch of characters that it depends on: any text that holds the same stretch has the same
+symbol in the same place. So it is known for each window of ``run`` characters whether a phrase and all it depends on lie
+inside it. Windows without one are the same in all texts, as this hangs on their characters only, and are keyed by the
+least of their k-gram hashes instead. Every shared run of ``run`` characters therefore shares a key: nothing is left to
+chance. Shared keys reveal the windows worth a look; 128-bit hashes of the windows themselves verify them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataquill.llm.arrays import U64, chunks, code_points, kgrams, mix, owners
+from strataquill.llm.arrays import U64, chunks, code_points, kgrams, mix, owners, window_min
 from strataquill.session import written
 
-
-def recompress(codes: np.ndarray, starts: np.ndarray, rounds: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, start, text number) of the symbols left after ``rounds`` rounds over all texts in a row.
-
-    In the last round symbols of up to ``longest`` characters take part, in the ones before a seventh less each.
+#: A dependency on what lies beyond the end of a text.
+FAR = np.int64(1 << 40)
+
+
+@dataclass
+class Symbols:
+    """Symbols of all texts in a row: name, first character, text number, and the stretch of characters it depends on."""
+
+    name: np.ndarray
+    at: np.ndarray
+    owner: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def taken(self, which: np.ndarray) -> Symbols:
+        return Symbols(self.name[which], self.at[which], self.owner[which], self.low[which], self.high[which])
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each symbol is the first, and the last, of its text."""
+        first = np.ones(len(self.at), bool)
+        first[1:] = self.owner[1:] != self.owner[:-1]
+        return first, np.append(first[1:], True)
+
+
+def _shift(values: np.ndarray, by: int, fill) -> np.ndarray:
+    """Values of the neighbour before (1) or after (-1), ``fill`` where there is none."""
+    return np.concatenate([[fill], values[:-1]]) if by == 1 else np.concatenate([values[1:], [fill]])
+
+
+def _runs(s: Symbols, codes: np.ndarray, limit: float) -> Symbols:
+    """Equal neighbours joined. A symbol also depends on what shows that its neighbours differ: one character, as a rule."""
+    end = _shift(s.at, -1, len(codes))
+    small = end - s.at <= limit
+    first, _ = s.edges()
+    joins = small & ~first
+    joins[1:] &= s.name[1:] == s.name[:-1]
+    head = np.flatnonzero(~joins)
+    tail = np.append(head[1:], len(joins)) - 1
+    out = s.taken(head)
+    if len(head) < len(joins):
+        count = (tail - head + 1).astype(U64)
+        out.name = np.where(count > 1, mix(out.name ^ mix(count + U64(1 << 40))), out.name)
+        out.low, out.high = np.minimum.reduceat(s.low, head), np.maximum.reduceat(s.high, head)
+    first, last = out.edges()
+    small, end = small[head], end[tail]
+    before, after = codes[np.maximum(out.at - 1, 0)], codes[np.minimum(end, len(codes) - 1)]
+    alike_before, alike_after = before == codes[end - 1], after == codes[out.at]
+    low, high = np.where(first, -FAR, out.at - 1), np.where(last, FAR, end + 1)
+    low, high = np.minimum(out.low, np.where(small, low, FAR)), np.maximum(out.high, np.where(small, high, -FAR))
+    for alike, step in ((small & alike_before & ~first, 1), (small & alike_after & ~last, -1)):
+        if alike.any():
+            low = np.where(alike, np.minimum(low, _shift(out.low, step, FAR)), low)
+            high = np.where(alike, np.maximum(high, _shift(out.high, step, -FAR)), high)
+    out.low, out.high = low, high
+    return out
+
+
+def _pairs(s: Symbols, size: int, limit: float, r: int) -> Symbols:
+    """A left symbol takes the right symbol after it; one that stays single depends on the neighbour it might have met."""
+    small = _shift(s.at, -1, size) - s.at <= limit
+    first, last = s.edges()
+    right = (mix(s.name + U64(r + 1)) & U64(1)).astype(bool)
+    second = small & right & ~first & _shift(small & ~right, 1, False)
+    lead = _shift(second, -1, False)
+    to_next, to_last = small & ~right, small & right & ~second
+    low = np.minimum(s.low, np.where(to_next & ~last, _shift(s.low, -1, FAR), np.where(to_last, np.where(first, -FAR, _shift(s.low, 1, FAR)), FAR)))
+    high = np.maximum(s.high, np.where(to_next, np.where(last, FAR, _shift(s.high, -1, -FAR)), np.where(to_last & ~first, _shift(s.high, 1, -FAR), -FAR)))
+    name = np.where(lead, mix(s.name * U64(0x9E3779B97F4A7C15) + _shift(s.name, -1, U64(0)) + U64(r)), s.name)
+    return Symbols(name, s.at, s.owner, low, high).taken(np.flatnonzero(~second))
+
+
+def recompress(codes: np.ndarray, starts: np.ndarray, rounds: int, longest: int) -> Symbols:
+    """The symbols left after ``rounds`` rounds over all texts in a row.
+
+    In the last round symbols of up to ``longest`` characters take part, in the ones before an eighth less each.
     """
-    names, at, owner = mix(codes), np.arange(len(codes), dtype=np.int64), owners(starts)
-    end = len(codes)
+    at = np.arange(len(codes), dtype=np.int64)
+    out = Symbols(mix(codes), at, owners(starts), at, at + 1)
     for r in range(rounds):
-        if len(names) < 2:
+        if len(out.at) < 2:
             break
         limit = max(2.0, longest * (7 / 8) ** (rounds - 1 - r))
-        size = np.diff(np.append(at, end))
-        small = size <= limit
-        # Runs: a symbol equal to the one before it joins it, as long as both may take part.
-        joins = np.zeros(len(names), bool)
-        joins[1:] = (names[1:] == names[:-1]) & (owner[1:] == owner[:-1]) & small[1:]
-        if joins.any():
-            head = np.flatnonzero(~joins)
-            count = np.diff(np.append(head, len(names)))
-            names, at, owner = names[head], at[head], owner[head]
-            names = np.where(count > 1, mix(names ^ mix(count.astype(U64) + U64(1 << 40))), names)
-            size = np.diff(np.append(at, end))
-            small = size <= limit
-        # Pairs: a left symbol takes the right symbol after it.
-        side = (mix(names + U64(r + 1)) & U64(1)).astype(bool)
-        second = np.zeros(len(names), bool)
-        second[1:] = ~side[:-1] & side[1:] & (owner[1:] == owner[:-1]) & small[:-1] & small[1:]
-        first = np.zeros(len(names), bool)
-        first[:-1] = second[1:]
-        merged = mix(names * U64(0x9E3779B97F4A7C15) + np.append(names[1:], U64(0)) + U64(r))
-        names = np.where(first, merged, names)[~second]
-        at, owner = at[~second], owner[~second]
-    return names, at, owner
-
-
-def anchors(texts: list[str], window: int, rounds: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key): at every symbol of the last round, the hash of the ``window`` characters from its start on.
-
-    Equal substrings agree on the symbols inside them, so they agree on these keys as well.
+        out = _pairs(_runs(out, codes, limit), len(codes), limit, r)
+    return out
+
+
+def phrases(s: Symbols, size: int, least: int) -> Symbols:
+    """At every symbol, the phrase of consecutive symbols from it on that has ``least`` characters or more."""
+    end = _shift(s.at, -1, size)
+    upto = np.searchsorted(end, s.at + least)
+    fits = upto < len(end)
+    fits[fits] &= s.owner[upto[fits]] == s.owner[fits]
+    begin, upto = np.flatnonzero(fits), upto[fits]
+    out = s.taken(begin)
+    step = 1
+    while len(more := np.flatnonzero(begin + step <= upto)):
+        at = begin[more] + step
+        out.name[more] = mix(out.name[more] * U64(0x9E3779B97F4A7C15) + s.name[at])
+        out.low[more] = np.minimum(out.low[more], s.low[at])
+        out.high[more] = np.maximum(out.high[more], s.high[at])
+        step += 1
+    return out
+
+
+def keyed_windows(texts: list[str], run: int, least: int, rounds: int, longest: int) -> tuple[np.ndarray, ...]:
+    """(text number, key, first window, last window): windows of ``run`` characters, by their first character, with their keys.
+
+    Every window of every text lies in at least one of these ranges, and equal windows lie in ranges of an equal key.
     """
     codes, starts = code_points(texts)
-    _, at, owner = recompress(codes, starts, rounds, longest)
-    hashed = kgrams(mix(codes), window)
-    fits = at + window <= starts[1:][owner]
-    return owner[fits], mix(hashed[at[fits]])
-
-
-def shares_run(a: str, b: str, run: int) -> bool:
-    """Whether two texts have ``run`` characters in a row in common."""
-    if a == b:
-        return len(a) >= run
-    codes, starts = code_points([a, b])
-    hashed = kgrams(mix(codes), run)
-    n = max(0, int(starts[1]) - run + 1)
-    common, at, other = np.intersect1d(hashed[:n], hashed[starts[1] :], return_indices=True)
-    return any(a[i : i + run] == b[j : j + run] for i, j in zip(at.tolist(), other.tolist(), strict=True))
-
-
-def shared_runs(records: DataFrame, key: str, owner_col: str, text_col: str, run: int = 120, window: int = 64, rounds: int = 10, longest: int = 24) -> tuple[DataFrame, DataFrame]:
-    """(members: key, owner and class of every record; links: class pairs with a run in common, smaller class first).
-
-    Equal texts are one class. Keys are first counted, combined on the map side, and only keys seen under two owners go
-    on; the join that brings their classes together is a sort-merge join that adaptive execution splits where one key is
-    hot. Candidate pairs are then verified on the whole texts. Records with a null key, owner or text and texts shorter
-    than ``run`` have no links; repeated rows count once.
+    none = np.zeros(0, np.int64)
+    if len(codes) < run:
+        return none, none.view(U64), none, none
+    keys = phrases(recompress(codes, starts, rounds, longest), len(codes), least)
+    begin, over = starts[:-1][keys.owner], starts[1:][keys.owner]
+    inside = np.flatnonzero((keys.low >= begin) & (keys.high <= over) & (keys.high - keys.low <= run) & (over - begin >= run))
+    keys = keys.taken(inside)
+    first, last = np.maximum(keys.high - run, begin[inside]), np.minimum(keys.low, over[inside] - run)
+    # Windows in none of these ranges: keyed by the least hash of their k-grams.
+    edge = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + 1, -1)
+    owner = owners(starts)
+    bare = (np.cumsum(edge[:-1]) == 0)[: len(codes) - run + 1] & (owner[: len(codes) - run + 1] == owner[run - 1 :])
+    at = np.flatnonzero(bare)
+    if len(at):
+        low = mix(window_min(mix(kgrams(mix(codes), least)), run - least + 1)[at])
+        head = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)]))
+        tail = np.append(head[1:], len(at)) - 1
+        first, last = np.concatenate([first, at[head]]), np.concatenate([last, at[tail]])
+        return np.concatenate([keys.owner, owner[at[head]]]), np.concatenate([keys.name, low[head]]), first - starts[np.concatenate([keys.owner, owner[at[head]]])], last - starts[np.concatenate([keys.owner, owner[at[head]]])]
+    return keys.owner, keys.name, first - starts[keys.owner], last - starts[keys.owner]
+
+
+class Shared:
+    """Runs of ``run`` or more characters that records of different owners have in common.
+
+    Equal texts are one class, worked on once. ``members`` has key, owner and class of every record, ``windows`` the
+    places of all windows under a shared key, ``sets`` the shared windows with a fingerprint of the set of classes that
+    hold them, and ``runs`` the classes of each such set, once per set: a passage of a thousand characters in the same
+    hundred texts is one set. No pair of texts is formed anywhere; groups are only counted and summed, combined on the
+    map side. Records with a null key, owner or text have no part in it, shorter ones share nothing, and repeated rows
+    count once.
     """
-    rows = records.where(F.col(key).isNotNull() & F.col(owner_col).isNotNull() & (F.length(text_col) >= run))
-    rows = rows.select(F.col(key).alias("__key"), F.col(owner_col).alias("__owner"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__class"))
-    members = rows.select(F.col("__key").alias(key), F.col("__owner").alias(owner_col), F.col("__class").alias("class_id")).distinct()
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).to_pydict()
-            seen = dict.fromkeys(zip(table["__class"], table["__own"], strict=True))
-            text_of = dict(zip(table["__class"], table["__text"], strict=True))
-            own_of: dict[int, list[int]] = {}
-            for c, o in seen:
-                own_of.setdefault(c, []).append(o)
-            classes = list(own_of)
-            for lo, hi in chunks([text_of[c] for c in classes], 500_000):
-                which, keys = anchors([text_of[c] for c in classes[lo:hi]], window, rounds, longest)
-                once = np.unique(np.stack([which.astype(np.int64).view(U64), keys], axis=1), axis=0) if len(keys) else np.zeros((0, 2), U64)
-                which, keys = once[:, 0].astype(np.int64), once[:, 1].view(np.int64)
-                times = np.array([len(own_of[c]) for c in classes[lo:hi]])[which] if len(which) else which
-                owner = np.array([o for w in which.tolist() for o in own_of[classes[lo + w]]], np.int64)
-                ids = np.array(classes[lo:hi], np.int64)[which] if len(which) else which
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, times)), pa.array(np.repeat(ids, times)), pa.array(owner)], names=["k", "c", "o"])
-
-    points = rows.select("__class", F.xxhash64("__owner").alias("__own"), "__text").mapInArrow(emit, "k long, c long, o long")
-    split = points.groupBy("k").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo != hi").select("k")
-    common = written(points.join(split, "k", "left_semi").select("k", "c").distinct(), "spans-common")
-    a, b = common.alias("a"), common.alias("b")
-    pairs = written(a.join(b, F.expr("a.k = b.k and a.c < b.c")).select(F.col("a.c").alias("class_a"), F.col("b.c").alias("class_b")).distinct(), "spans-pairs")
-
-    wanted = pairs.select(F.explode(F.array("class_a", "class_b")).alias("__class")).distinct()
-    texts = rows.join(wanted, "__class", "left_semi").select("__class", "__text").distinct()
-    sided = pairs.join(texts.select(F.col("__class").alias("class_a"), F.col("__text").alias("ta")), "class_a").join(texts.select(F.col("__class").alias("class_b"), F.col("__text").alias("tb")), "class_b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = pa.array([shares_run(x, y, run) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["class_a", "class_b"]).filter(hit)
-
-    return members, sided.select("class_a", "class_b", "ta", "tb").mapInArrow(verify, "class_a long, class_b long")
+
+    def __init__(self, records: DataFrame, key: str, owner_col: str, text_col: str, run: int = 120, least: int = 40, rounds: int = 9, longest: int = 20) -> None:
+        self.key, self.owner_col, self.run = key, owner_col, run
+        rows = records.where(F.col(key).isNotNull() & F.col(owner_col).isNotNull() & F.col(text_col).isNotNull())
+        rows = rows.select(F.col(key).alias("__key"), F.col(owner_col).alias("__owner"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("c"))
+        self.members = written(rows.select("__key", "__owner", "c", F.length("__text").alias("n")).distinct(), "spans-members")
+        texts = written(rows.where(F.length("__text") >= run).select("c", "__text").distinct(), "spans-texts")
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shown = batch.column(1).to_pylist()
+                for lo, hi in chunks(shown, 200_000):
+                    which, keys, first, last = keyed_windows(shown[lo:hi], run, least, rounds, longest)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(which + lo)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["k", "c", "a", "b"])
+
+        points = written(texts.mapInArrow(emit, "k long, c long, a int, b int"), "spans-points")
+        common = points.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("k")
+        ranges = points.join(common, "k", "left_semi").groupBy("c").agg(F.collect_list(F.struct("a", "b")).alias("r"))
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shown, ranged = batch.column(1).to_pylist(), batch.column(2)
+                offsets, flat = ranged.offsets.to_numpy() - ranged.offsets[0].as_py(), ranged.flatten()
+                a, b = (flat.field(i).to_numpy() for i in range(2))
+                for lo, hi in chunks(shown, 200_000):
+                    codes, starts = code_points(shown[lo:hi])
+                    edge = np.zeros(len(codes) + 1, np.int64)
+                    begin = np.repeat(starts[:-1], np.diff(offsets[lo : hi + 1]))
+                    np.add.at(edge, begin + a[offsets[lo] : offsets[hi]], 1)
+                    np.add.at(edge, begin + b[offsets[lo] : offsets[hi]] + 1, -1)
+                    at = np.flatnonzero(np.cumsum(edge[:-1]))
+                    of = owners(starts)[at]
+                    one, two = kgrams(mix(codes), run)[at], kgrams(mix(codes + np.uint32(1 << 24)), run)[at]
+                    once = np.zeros(len(at), bool)
+                    order = np.lexsort((at, one, of))
+                    if len(at):
+                        once[order] = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (one[order][1:] != one[order][:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(one).view(np.int64)), pa.array(mix(two).view(np.int64)), batch.column(0).take(pa.array(of + lo)), pa.array((at - starts[of]).astype(np.int32)), pa.array(once)], names=["h", "g", "c", "p", "f"])
+
+        self.windows = written(texts.join(ranges, "c").select("c", "__text", "r").mapInArrow(look, "h long, g long, c long, p int, f boolean"), "spans-windows")
+        held = self.windows.where("f").groupBy("h", "g").agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(s), "c").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)))
+        self.sets = written(held.where("n > 1").select("h", "g", F.xxhash64("n", "s1").alias("s"), F.xxhash64("s2", "n").alias("t")), "spans-sets")
+        chosen = self.sets.groupBy("s", "t").agg(F.min(F.struct("h", "g")).alias("x")).select("s", "t", "x.h", "x.g")
+        self.runs = written(chosen.join(self.windows.where("f"), ["h", "g"]).select("s", "t", "c"), "spans-runs")
+
+    def owned(self) -> DataFrame:
+        """The owners of each class of ``run`` characters or more."""
+        return self.members.where(F.col("n") >= self.run).select("c", "__owner").distinct()
+
+    def with_others(self) -> DataFrame:
+        """(key, other owner): every record and each other owner one of whose records shares a run with it."""
+        reached = self.runs.join(self.owned(), "c").select("s", "t", "__owner").distinct()
+        reach = self.runs.join(reached, ["s", "t"]).select("c", F.col("__owner").alias("__other"))
+        reach = reach.unionByName(self.owned().select("c", F.col("__owner").alias("__other"))).distinct()
+        out = self.members.join(reach, "c").where("__owner != __other")
+        return out.select(F.col("__key").alias(self.key), F.col("__other").alias(f"other_{self.owner_col}")).distinct()
+
+    def shares(self) -> DataFrame:
+        """(key, chars, shared_chars, share): how much of each record lies in runs that a record of another owner holds.
+
+        Every record has a row; the share of an empty text is 0. A key with several texts has a row for each.
+        """
+        mixed = lambda df, *by: df.groupBy(*by).agg(F.min("__owner").alias("lo"), F.max("__owner").alias("hi")).where("lo != hi").select(*by)
+        shared = self.sets.join(mixed(self.runs.join(self.owned(), "c"), "s", "t"), ["s", "t"], "left_semi").select("h", "g")
+        places = self.windows.join(shared, ["h", "g"], "left_semi").select("c", "p")
+        gap = F.lead("p").over(W.partitionBy("c").orderBy("p")) - F.col("p")
+        part = places.withColumn("w", F.least(F.coalesce(gap, F.lit(self.run)), F.lit(self.run))).groupBy("c").agg(F.sum("w").alias("w"))
+        copied = mixed(self.owned(), "c").withColumn("whole", F.lit(True))
+        rows = self.members.join(part, "c", "left").join(copied, "c", "left")
+        chars: Column = F.when(F.col("whole"), F.col("n")).otherwise(F.coalesce("w", F.lit(0))).cast("long")
+        return rows.select(F.col("__key").alias(self.key), F.col("n").alias("chars"), chars.alias("shared_chars"), F.coalesce(F.try_divide(chars, F.col("n")), F.lit(0.0)).alias("share")).distinct()
 
 
 def shared_with(records: DataFrame, key: str, owner_col: str, text_col: str, **settings) -> DataFrame:
     """(key, other owner): every record and each other owner one of whose records shares a long run with it."""
-    members, links = shared_runs(records, key, owner_col, text_col, **settings)
-    members = written(members, "spans-members")
-    both = links.unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
-    owned = members.select(F.col("class_id").alias("class_b"), F.col(owner_col).alias("__other")).distinct()
-    reach = both.join(owned, "class_b").select("class_a", "__other").unionByName(owned.select(F.col("class_b").alias("class_a"), "__other")).distinct()
-    out = members.join(reach, F.col("class_id") == F.col("class_a")).where(F.col(owner_col) != F.col("__other"))
-    return out.select(key, F.col("__other").alias(f"other_{owner_col}")).distinct()
+    return Shared(records, key, owner_col, text_col, **settings).with_others()
+
+
+def shared_shares(records: DataFrame, key: str, owner_col: str, text_col: str, **settings) -> DataFrame:
+    """(key, chars, shared_chars, share) of every record: how much of it is shared with other owners."""
+    return Shared(records, key, owner_col, text_col, **settings).shares()

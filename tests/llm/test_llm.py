@@ -126,7 +126,7 @@ def test_sentences_of_long_quotations(spark):
     ends = {i: sorted(r.end_pos for r in rows if r.id == str(i)) for i in range(len(texts))}
     assert ends[0] == [len(quoted)] and ends[2] == [len(nested) - 6, len(nested)] and ends[3] == [50008, len(opened)]
     assert ends[1] == [straight.index(" Then"), len(straight)]
-    assert ends[4] == [10 + 11 * i for i in range(60000)]
+    assert ends[4] == [10 + 11 * i for i in range(60000)] and all(r.sentence == texts[int(r.id)][r.start_pos : r.end_pos] for r in rows)
 
 
 # One form -----------------------------------------------------------------------------------------------------------
@@ -205,18 +205,49 @@ def test_shared_runs_against_brute_force(spark):
     want = {(i, e) for i, d, x in windows for _, e, y in windows if d != e and x & y}
     got = {(r.id, r.other_doc) for r in spans.shared_with(df.unionByName(df.limit(3)), "id", "doc", "text").collect()}
     assert got == want
-    assert spans.shared_with(df.limit(0), "id", "doc", "text").count() == 0
+    assert spans.shared_with(df.limit(0), "id", "doc", "text").count() == 0 and spans.shared_shares(df.limit(0), "id", "doc", "text").count() == 0
+
+    def part(d, t):
+        on = set()
+        for j in range(len(t) - 119):
+            if any(e != d and t[j : j + 120] in y for _, e, y in windows):
+                on |= set(range(j, j + 120))
+        return len(on)
+
+    shares = {r.id: (r.chars, r.shared_chars) for r in spans.shared_shares(df, "id", "doc", "text").collect()}
+    assert shares == {i: (len(t), part(d, t)) for i, d, t in rows if i and d and t is not None}
 
 
-def test_equal_substrings_share_keys():
+def keyed(texts, run=120):
+    """For each text, the keys under which each of its windows lies."""
+    which, keys, first, last = spans.keyed_windows(texts, run, 40, 9, 20)
+    out = [{} for _ in texts]
+    for w, k, a, b in zip(which.tolist(), keys.tolist(), first.tolist(), last.tolist(), strict=True):
+        for p in range(a, b + 1):
+            out[w].setdefault(texts[w][p : p + run], set()).add(k)
+    return out
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh ", "ab", "a", "甲乙丙丁戊己庚辛壬癸，。", "x\U0001f600"])
+def test_every_shared_window_shares_a_key(letters):
+    """The guarantee, with periodic texts and long runs of one character among them."""
     rng = random.Random(6)
-    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    missed = 0
-    for _ in range(200):
-        core = text(120)
-        which, keys = spans.anchors([text(90) + core + text(40), text(33) + core + text(95)], 64, 10, 24)
-        missed += not set(keys[which == 0].tolist()) & set(keys[which == 1].tolist())
-    assert missed <= 1
+
+    def text(n):
+        out = ""
+        while len(out) < n:
+            out += rng.choice(letters) * rng.choice([1, 1, 1, 1, 2, 70]) if rng.random() < 0.9 else rng.choice(["ab" * 40, "-" * 130, "abc" * 50])
+        return out[:n]
+
+    for _ in range(60):
+        core = text(rng.choice([120, 121, 150, 300]))
+        texts = [text(rng.randrange(0, 90)) + core + text(rng.randrange(0, 90)) for _ in range(2)] + ["", core[:119], core]
+        held = keyed(texts)
+        for t, windows in zip(texts, held, strict=True):
+            assert set(windows) == {t[i : i + 120] for i in range(len(t) - 119)}
+        for a in held:
+            for b in held:
+                assert all(a[w] & b[w] for w in set(a) & set(b))
 
 
 # Leakage ------------------------------------------------------------------------------------------------------------
