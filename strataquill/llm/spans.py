@@ -6,10 +6,10 @@ partitions are renamed alike without exchanging a dictionary. Only symbols up to
 renamed. A last round names phrases of consecutive symbols; these high-level symbols are the keys that are joined.
 
 With every symbol goes the stretch of characters that it depends on: any text that holds the same stretch has the same
-symbol in the same place. So it is known for each window of ``run`` characters whether a phrase and all it depends on lie
-inside it. Windows without one are the same in all texts, as this hangs on their characters only, and are keyed by the
-least of their k-gram hashes instead. Every shared run of ``run`` characters therefore shares a key: nothing is left to
-chance. Shared keys reveal the windows worth a look; 128-bit hashes of the windows themselves verify them.
+symbol in the same place. So it is known for each window of ``run`` characters which phrases lie inside it with all that
+they depend on, and the one of least name is the window's key. Whether there is any hangs on the window's own characters
+only; a window without one is keyed by the least of its k-gram hashes instead. Equal windows therefore have equal keys:
+nothing is left to chance. Shared keys reveal the windows worth a look; 128-bit hashes of the windows themselves verify them.
 """
 
 from __future__ import annotations
@@ -131,33 +131,35 @@ def phrases(s: Symbols, size: int, least: int) -> Symbols:
 
 
 def keyed_windows(texts: list[str], run: int, least: int, rounds: int, longest: int) -> tuple[np.ndarray, ...]:
-    """(text number, key, first window, last window): windows of ``run`` characters, by their first character, with their keys.
+    """(text number, key, first window, last window): ranges of windows of ``run`` characters, by their first character, with their key.
 
-    Every window of every text lies in at least one of these ranges, and equal windows lie in ranges of an equal key.
+    The key of a window is the least name of the phrases that lie in it with all they depend on. If there is none, it is
+    the least hash of its k-grams. Every window has one key, and equal windows have equal keys.
     """
     codes, starts = code_points(texts)
     none = np.zeros(0, np.int64)
     if len(codes) < run:
         return none, none.view(U64), none, none
-    keys = phrases(recompress(codes, starts, rounds, longest), len(codes), least)
-    begin, over = starts[:-1][keys.owner], starts[1:][keys.owner]
-    inside = np.flatnonzero((keys.low >= begin) & (keys.high <= over) & (keys.high - keys.low <= run) & (over - begin >= run))
-    keys = keys.taken(inside)
-    first, last = np.maximum(keys.high - run, begin[inside]), np.minimum(keys.low, over[inside] - run)
-    # Windows in none of these ranges: keyed by the least hash of their k-grams.
-    edge = np.zeros(len(codes) + 1, np.int64)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, last + 1, -1)
+    s = phrases(recompress(codes, starts, rounds, longest), len(codes), least)
+    begin, over = starts[:-1][s.owner], starts[1:][s.owner]
+    inside = np.flatnonzero((s.low >= begin) & (s.high <= over) & (s.high - s.low <= run) & (over - begin >= run))
+    first, last = np.maximum(s.high[inside] - run, begin[inside]), np.minimum(s.low[inside], over[inside] - run)
+    key = np.full(len(codes) - run + 1, np.iinfo(U64).max, U64)
+    width = last - first + 1
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(int(width.sum())) if len(width) else none
+    np.minimum.at(key, at, np.repeat(s.name[inside], width))
     owner = owners(starts)
-    bare = (np.cumsum(edge[:-1]) == 0)[: len(codes) - run + 1] & (owner[: len(codes) - run + 1] == owner[run - 1 :])
-    at = np.flatnonzero(bare)
-    if len(at):
-        low = mix(window_min(mix(kgrams(mix(codes), least)), run - least + 1)[at])
-        head = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)]))
-        tail = np.append(head[1:], len(at)) - 1
-        first, last = np.concatenate([first, at[head]]), np.concatenate([last, at[tail]])
-        return np.concatenate([keys.owner, owner[at[head]]]), np.concatenate([keys.name, low[head]]), first - starts[np.concatenate([keys.owner, owner[at[head]]])], last - starts[np.concatenate([keys.owner, owner[at[head]]])]
-    return keys.owner, keys.name, first - starts[keys.owner], last - starts[keys.owner]
+    whole = owner[: len(key)] == owner[run - 1 :]
+    bare = np.flatnonzero(whole & (key == np.iinfo(U64).max))
+    if len(bare):
+        key[bare] = mix(window_min(mix(kgrams(mix(codes), least)), run - least + 1)[bare])
+    at = np.flatnonzero(whole)
+    if not len(at):
+        return none, none.view(U64), none, none
+    head = np.flatnonzero(np.concatenate([[True], (key[at[1:]] != key[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])]))
+    tail = np.append(head[1:], len(at)) - 1
+    of = owner[at[head]]
+    return of, key[at[head]], at[head] - starts[of], at[tail] - starts[of]
 
 
 class Shared:
@@ -171,7 +173,7 @@ class Shared:
     count once.
     """
 
-    def __init__(self, records: DataFrame, key: str, owner_col: str, text_col: str, run: int = 120, least: int = 40, rounds: int = 9, longest: int = 20) -> None:
+    def __init__(self, records: DataFrame, key: str, owner_col: str, text_col: str, run: int = 120, least: int = 64, rounds: int = 6, longest: int = 12) -> None:
         self.key, self.owner_col, self.run = key, owner_col, run
         rows = records.where(F.col(key).isNotNull() & F.col(owner_col).isNotNull() & F.col(text_col).isNotNull())
         rows = rows.select(F.col(key).alias("__key"), F.col(owner_col).alias("__owner"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("c"))
