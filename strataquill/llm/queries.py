@@ -10,6 +10,9 @@ from strataquill.operators import evaluation
 from strataquill.plans import retrieval_queries
 from strataquill.session import table
 
+#: Vocabulary file that tokens are counted by, unless ``strataquill.tokenizer`` is set in the session.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records longer than the limit, by way of their pieces."""
@@ -88,7 +91,8 @@ def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mixture(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_mix"))
+    path = spark.conf.get("strataquill.tokenizer", TOKENIZER)
+    return mixing.mixture(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_mix"), path)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +110,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and how often the mix uses it."""
+    """Every document, its rate, and how often the mix uses it."""
     return _mixture(spark, sf_dir)[0]
 
 
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the posteriors of the texts alone tell the source, on all labelled documents outside the fit."""
+    names = sorted(r.source for r in table(spark, sf_dir, "source_mix").select("source").where("source is not null").distinct().collect())
+    return mixing.domain_quality(table(spark, sf_dir, "documents"), "doc_id", "text", "source", names)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are template residue."""
     return residue.find_residue(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
@@ -120,7 +130,7 @@ def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.validate(table(spark, sf_dir, "documents"), "doc_id", "text", "company_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "search_scores": search_scores, "search_metrics": search_metrics, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_validation": p10_validation}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "search_scores": search_scores, "search_metrics": search_metrics, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p9_validation": p9_validation, "p10_found": p10_found, "p10_validation": p10_validation}
 _WIDE = "".join(map(chr, (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))))
 _NARROW = "".join(map(chr, (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B))))
 

@@ -220,7 +220,7 @@ def test_shared_runs_against_brute_force(spark):
 
 def keyed(texts, run=120):
     """For each text, the keys under which each of its windows lies."""
-    which, keys, first, last = spans.keyed_windows(texts, run, 40, 9, 20)
+    which, keys, first, last = spans.keyed_windows(texts, run, 64, 6, 12)
     out = [{} for _ in texts]
     for w, k, a, b in zip(which.tolist(), keys.tolist(), first.tolist(), last.tolist(), strict=True):
         for p in range(a, b + 1):
@@ -294,20 +294,50 @@ def test_mixture_reaches_targets(spark):
     used, report = mixing.mixture(docs, "doc", "text", "source", plan, BPE)
     told = {r.source: r for r in report.collect()}
     assert told["x"].reachable and told["y"].reachable and not told["z"].reachable
-    assert told["x"].reached_tokens == pytest.approx(told["x"].target_tokens) and told["z"].reached_tokens == pytest.approx(2 * told["z"].own_tokens)
-    got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t"), F.max("repeats").alias("m")).collect()
-    assert all(r.m <= {"x": 2, "y": 3, "z": 2}[r.source] for r in got)
-    assert all(r.t == pytest.approx(told[r.source].reached_tokens, rel=0.15) for r in got)
+    assert told["x"].reached_tokens == pytest.approx(told["x"].target_tokens, rel=1e-3) and told["z"].reached_tokens < 0.5 * told["z"].target_tokens
+    got = {r.source: r for r in used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t"), F.max("repeats").alias("m"), F.max("rate").alias("r")).collect()}
+    assert all(r.m <= cap and r.r <= cap for r, cap in ((got["x"], 2), (got["y"], 3), (got["z"], 2)))
+    assert all(got[s].t == pytest.approx(told[s].target_tokens, rel=0.2) for s in "xy")
     assert used.count() == len(rows)
 
 
 @tokenizers_here
 def test_unlabelled_documents_get_posteriors(spark):
-    rows = [(i, ("alpha beta gamma %d " % i if i % 2 else "盈利增长%d，" % i) * 5, None if i % 10 < 2 else ("x" if i % 2 else "y")) for i in range(200)]
+    rows = [(i, ("alpha beta gamma %d " % i if i % 2 else "盈利增长%d，" % i) * 5, None if i % 10 < 2 else ("x" if i % 2 else "y")) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc long, text string, source string")
     sized = mixing.measured(docs, "doc", "text", "source", ["x", "y"], BPE).collect()
     assert all(sum(r.member) == pytest.approx(1) for r in sized)
-    assert all(r.member[0 if r.doc % 2 else 1] > 0.7 for r in sized)
+    assert sum(r.member[0 if r.doc % 2 else 1] for r in sized) > 0.95 * len(sized)
+    quality = {r.source: r for r in mixing.domain_quality(docs, "doc", "text", "source", ["x", "y"], pool=150).collect()}
+    assert all(r.accuracy > 0.95 and r.log_loss < r.prior_log_loss for r in quality.values())
+
+
+def test_posteriors_are_tempered_where_texts_tell_nothing():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(100)) for _ in range(600)]
+    labels = [rng.choice("xxxy") for _ in texts]
+    model = mixing.Domains.fit(texts, labels, ["x", "y"])
+    alone, told = model.posterior(texts), model.posterior(texts, labels)
+    assert np.abs(alone[:, 0] - 0.75).max() < 0.25
+    assert all(p["xy".index(x)] > 0.9 for p, x in zip(told, labels, strict=True))
+
+
+@tokenizers_here
+def test_rates_match_the_least_squares_solution(spark):
+    """Overlapping domains against plain projected gradient steps on the rates themselves."""
+    rng = np.random.default_rng(9)
+    member = rng.multinomial(20, [0.5, 0.3, 0.2], 300) / 20
+    tokens = rng.integers(1, 50, 300)
+    sized = spark.createDataFrame([(i, "abc"[i % 3], int(t), m.tolist()) for i, (t, m) in enumerate(zip(tokens, member, strict=True))], "doc long, source string, tokens long, member array<double>")
+    target, caps = np.array([0.2, 0.3, 0.5]), np.array([2.0, 1.0, 3.0])
+    rate, report = mixing.fit_rates(sized, list("abc"), target.tolist(), caps.tolist())
+    got = np.array([r.r for r in sized.select("doc", rate.alias("r")).orderBy("doc").collect()])
+    cap, own = caps[np.arange(300) % 3], member.T @ tokens
+    r = np.ones(300)
+    for _ in range(5000):
+        r = np.clip(r + member @ ((target * own.sum() - member.T @ (tokens * r)) / own), 0, cap)
+    loss = lambda x: (((target * own.sum() - member.T @ (tokens * x)) ** 2) / own).sum()
+    assert loss(got) <= loss(r) + 1e-3 * loss(np.ones(300)) and (got <= cap).all() and (got >= 0).all()
 
 
 # Residue ------------------------------------------------------------------------------------------------------------
