@@ -1,8 +1,9 @@
 """Quantities recorded in different units, brought to one base unit per dimension.
 
 A figure is a number and the unit its record gives for it (a column, a note, the text, or a payload). Two records of the
-same figure obey the identity value_a * unit_a = value_b * unit_b; the combination of readings with the smallest
-residual of logarithms is taken, and a pair that several combinations fit equally well is flagged.
+same figure obey the identity value_a * unit_a = value_b * unit_b. A unit written right beside a number is certain; otherwise
+every unit the record names is a candidate, the combination with the smallest residual of logarithms is taken, and a pair
+that several combinations fit equally well is flagged. A unit that is named but not known is refused, never read as 1.
 ``solve_identity_units`` does the same for any product identity among columns, such as mass = density * volume.
 """
 
@@ -13,11 +14,13 @@ import json
 import math
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataquill.functions.columns import fold_width
 from strataquill.functions.text import plain
 
 # Base units with their dimension and size, and the scale words put before or after them.
@@ -33,6 +36,8 @@ BASE_UNITS = {
 CHINESE_SCALES = {"十": 1e1, "百": 1e2, "千": 1e3, "万": 1e4, "十万": 1e5, "百万": 1e6, "千万": 1e7, "亿": 1e8, "十亿": 1e9, "百亿": 1e10, "千亿": 1e11, "万亿": 1e12}
 ENGLISH_SCALES = {"": 1.0, "'000": 1e3, "thousand": 1e3, "k": 1e3, "mn": 1e6, "m": 1e6, "million": 1e6, "bn": 1e9, "billion": 1e9}
 CURRENCIES = ("人民币", "rmb", "cny")
+# Money that is not CNY.
+FOREIGN = ("美元", "港元", "港币", "欧元", "日元", "英镑", "澳元", "加元", "韩元", "新加坡元", "瑞士法郎", "卢布", "usd", "us$", "hkd", "hk$", "eur", "jpy", "gbp", "aud", "cad", "krw", "sgd", "chf", "$", "€", "£")
 
 
 def unit_table() -> dict[str, tuple[str, float]]:
@@ -49,7 +54,11 @@ def unit_table() -> dict[str, tuple[str, float]]:
 
 UNITS = unit_table()
 _SPELLED = "|".join(re.escape(u) for u in sorted(UNITS, key=len, reverse=True))
-_UNIT_RE = re.compile(rf"(?<![a-z])(?:{_SPELLED})(?![a-z0-9])")
+#: A unit that starts after nothing, a mark, or a word that introduces it, and is not part of a longer or compound one.
+_UNIT_RE = re.compile(rf"(?<![a-z/])(?<![一-鿿])(?:{_SPELLED})(?![a-z0-9/])(?!每)|(?<=[以为位按])(?:{_SPELLED})(?![a-z0-9/])(?!每)")
+_FOREIGN_RE = re.compile("|".join(re.escape(c) for c in FOREIGN))
+_OTHER_RE = re.compile(rf"(?:{'|'.join(sorted(CHINESE_SCALES, key=len, reverse=True))})?(?:{_FOREIGN_RE.pattern})")
+_NAMED_RE = re.compile(r"单位[:：]?(?P<a>[^,，;；)）]+)|以(?P<b>[^,，;；]{1,12})列示|(?P<c>^[^,，;；]{1,12})口径$|^in(?P<d>[a-z].*)$|元/")
 _NUMBER_RE = re.compile(r"(?<![A-Za-z0-9_.,-])(?P<open>\()?\s*(?P<sign>[-−–])?\s*(?P<digits>\d[\d,]*(?:\.\d+)?)(?:[eE](?P<exp>[+-]?\d+))?\s*(?(open)\)|)")
 
 
@@ -65,16 +74,28 @@ def parse_unit(text: str | None) -> tuple[str, str, float] | None:
     return (name, *UNITS[name]) if name in UNITS else None
 
 
-def find_unit(text: str | None) -> tuple[str, str, float] | None:
-    """The first unit named anywhere in a note such as ``单位：亿元`` or ``in RMB bn``."""
+def find_units(text: str | None) -> list[tuple[str, str, float]]:
+    """Every unit named anywhere in a note such as ``单位：亿元`` or ``in RMB bn``, in order; none where the money is not CNY."""
     if not text:
-        return None
+        return []
     whole = parse_unit(text)
     if whole:
-        return whole
+        return [whole]
     squeezed = re.sub(r"^in(?=[a-z])", "", _squeeze(text))
-    hit = _UNIT_RE.search(squeezed)
-    return (hit.group(), *UNITS[hit.group()]) if hit else None
+    if _FOREIGN_RE.search(squeezed):
+        return []
+    return [(u, *UNITS[u]) for u in dict.fromkeys(hit.group() for hit in _UNIT_RE.finditer(squeezed))]
+
+
+def find_unit(text: str | None) -> tuple[str, str, float] | None:
+    """The first of ``find_units``."""
+    return next(iter(find_units(text)), None)
+
+
+def names_other_unit(text: str | None) -> bool:
+    """Whether a note names a unit that is not one of ours, such as ``单位：万美元`` or ``单位：万桶``."""
+    squeezed = _squeeze(text or "")
+    return not find_units(text) and bool(_NAMED_RE.search(squeezed) or _FOREIGN_RE.search(squeezed))
 
 
 def parse_number(text: object) -> float | None:
@@ -125,19 +146,23 @@ def payload_figures(payload: str | None) -> tuple[list[tuple[float, tuple | None
     return figures, overall
 
 
-def text_figures(text: str | None) -> tuple[list[tuple[float, tuple | None]], tuple | None]:
-    """(figures with the unit written right after them, a unit named elsewhere in the text)."""
+def text_figures(text: str | None) -> tuple[list[tuple[float, tuple | None]], list[tuple]]:
+    """(figures with the unit written right after them, units named in brackets elsewhere in the text).
+
+    A figure followed by money that is not CNY is left out. Blanks between a figure and its unit do not count.
+    """
     if not text:
-        return [], None
+        return [], []
     shown = plain(text)
     figures: list[tuple[float, tuple | None]] = []
-    for hit in _NUMBER_RE.finditer(shown):
-        rest = _squeeze(shown[hit.end() : hit.end() + 24])
+    hits = list(_NUMBER_RE.finditer(shown))
+    for hit, upto in zip(hits, [*(h.start() for h in hits[1:]), len(shown)], strict=False):
+        rest = _squeeze(shown[hit.end() : max(upto, hit.end())])
         after = _UNIT_RE.match(rest)
-        figures.append((_value(hit), (after.group(), *UNITS[after.group()]) if after else None))
+        if after or not _OTHER_RE.match(rest):
+            figures.append((_value(hit), (after.group(), *UNITS[after.group()]) if after else None))
     bracketed = re.findall(r"\(([^()]*[^()\d,.\s-][^()]*)\)", shown)
-    overall = next((u for u in map(find_unit, bracketed) if u), None)
-    return figures, overall
+    return figures, list(dict.fromkeys(u for b in bracketed for u in find_units(b)))
 
 
 def readings(text: str | None, payload: str | None) -> list[tuple[float, str, str, float]]:
@@ -145,9 +170,9 @@ def readings(text: str | None, payload: str | None) -> list[tuple[float, str, st
     told, named = text_figures(text)
     held, given = payload_figures(payload)
     out = {}
-    for number, unit in [*((n, u or named or given) for n, u in told), *((n, u or named) for n, u in held)]:
-        if unit:
-            out[number, unit[0]] = (number, unit[0], unit[1], number * unit[2])
+    for number, unit, elsewhere in [*((n, u, named + [g for g in (given,) if g]) for n, u in told), *((n, u, named) for n, u in held)]:
+        for choice in [unit] if unit else elsewhere:
+            out[number, choice[0]] = (number, choice[0], choice[1], number * choice[2])
     return list(out.values())
 
 
@@ -172,23 +197,53 @@ def evidence_quantities(blocks: DataFrame) -> DataFrame:
 
 
 def report_quantities(report: DataFrame) -> DataFrame:
-    """Every report figure in the base unit: unit column first, else the unit in the note, else the base unit itself."""
+    """Every report figure in the base unit: the unit column, else the units named in the note, else the base unit itself.
+
+    A figure whose unit column or note names a unit that is not known gives no row; ``money_unit`` tells the reason.
+    """
     rows = report.where("id is not null and amount is not null and item_name_cn is not null").select("id", "company_id", "report_period", "item_name_cn", "amount", "amount_unit", "unit_note")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for i, c, p, item, amount, unit, note in frame.itertuples(index=False):
-                read_as = find_unit(unit if isinstance(unit, str) else None) or find_unit(note if isinstance(note, str) else None)
-                name, dimension, size = read_as or (None, None, 1.0)
-                out.append((i, c, p, item, float(amount), name, dimension, float(amount) * size))
+                unit, note = (x if isinstance(x, str) and x.strip() else None for x in (unit, note))
+                known = find_units(unit) or ([] if unit else find_units(note))
+                if not known and (unit or names_other_unit(note)):
+                    continue
+                for name, dimension, size in known or [(None, None, 1.0)]:
+                    out.append((i, c, p, item, float(amount), name, dimension, float(amount) * size))
             yield pd.DataFrame(out, columns=["key", "company_id", "report_period", "item", "number", "unit", "dimension", "base_value"])
 
     return rows.mapInPandas(read, _READ_SCHEMA)
 
 
+def money_unit(unit: Column, note: Column) -> Column:
+    """struct(unit, dimension, size, reason) a figure is given in: by its unit column, else by its note, else yuan.
+
+    ``size`` is a decimal, what one unit is in yuan, and null with a reason where the figure is no money of ours:
+    UNKNOWN_UNIT for a unit that is named but not known, FOREIGN_CURRENCY, or NON_MONEY_UNIT. Built-in expressions only.
+    """
+    squeeze = lambda c: F.regexp_replace(F.lower(fold_width(c)), "\\s+", "")
+    names = list(UNITS)
+    table = F.create_map(*itertools.chain(*((F.lit(n), F.struct(F.lit(UNITS[n][0]).alias("dimension"), F.lit(Decimal(UNITS[n][1]) if UNITS[n][0] == "money" else None).cast("decimal(20,2)").alias("size"))) for n in names)))
+    spelled = "|".join(f"\\Q{n}\\E" for n in sorted(names, key=len, reverse=True))
+    column, said = F.nullif(squeeze(unit), F.lit("")), F.regexp_replace(squeeze(F.coalesce(note, F.lit(""))), "^in(?=[a-z])", "")
+    foreign = "|".join(f"\\Q{c}\\E" for c in FOREIGN)
+    held = F.nullif(F.regexp_extract(said, f"(?:(?<![a-z/一-鿿])|(?<=[以为位按]))({spelled})(?![a-z0-9/每])", 1), F.lit(""))
+    told = F.when(said.rlike(foreign), F.lit(None)).otherwise(held)
+    name = F.when(column.isNotNull(), column).when(told.isNotNull(), told).when(~said.rlike(foreign) & ~said.rlike(_NAMED_RE.pattern.replace("?P<", "?<")), F.lit("元"))
+    entry = F.try_element_at(table, name)
+    other = F.coalesce(column, said).rlike(foreign)
+    reason = F.when(entry.isNull(), F.when(other, "FOREIGN_CURRENCY").otherwise("UNKNOWN_UNIT")).when(entry["dimension"] != "money", "NON_MONEY_UNIT")
+    return F.struct(name.alias("unit"), entry["dimension"].alias("dimension"), F.when(reason.isNull(), entry["size"]).alias("size"), reason.alias("reason"))
+
+
 def match_restated(report: DataFrame, evidence: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """(report_id, evidence_id, residual, combinations, unique) of report figures that table rows state again.
+    """(report_id, evidence_id, report_unit, evidence_unit, residual, combinations, unique) of report figures that table rows state again.
+
+    Of all candidate units of both sides the combination of least residual is given; ``combinations`` counts those that
+    come within the tolerance, and only one of them makes the choice ``unique``.
 
     The join key holds company, period, sign and a narrow bucket of the logarithm of the base value, so a company with a
     third of all rows spreads over its values and no pair of merely same-period rows is formed. A reading near the edge
@@ -209,8 +264,9 @@ def match_restated(report: DataFrame, evidence: DataFrame, tolerance: float = 1e
     a = keyed(report, False).select(F.col("key").alias("report_id"), "company_id", "report_period", F.col("item").alias("item_name"), F.col("unit").alias("ru"), F.col("dimension").alias("rd"), "sign", "bucket", F.col("ln").alias("rl")).distinct()
     b = keyed(evidence, True).select(F.col("key").alias("evidence_id"), "company_id", "report_period", F.col("item").alias("shown"), F.col("unit").alias("eu"), F.col("dimension").alias("ed"), "sign", "bucket", F.col("ln").alias("el"))
     pairs = a.join(b, ["company_id", "report_period", "sign", "bucket"]).where("contains(shown, item_name) and (rd is null or rd = ed)").withColumn("residual", F.coalesce(F.abs(F.col("rl") - F.col("el")), F.lit(0.0))).where(F.col("residual") <= tolerance)
-    best = pairs.groupBy("report_id", "evidence_id").agg(F.min("residual").alias("residual"), F.count_distinct(F.coalesce("ru", F.lit("")), "eu").alias("combinations"))
-    return best.withColumn("unique", F.col("combinations") == 1)
+    choice = F.min(F.struct("residual", "ru", "eu"))
+    best = pairs.groupBy("report_id", "evidence_id").agg(choice.alias("b"), F.count_distinct(F.coalesce("ru", F.lit("")), "eu").alias("combinations"))
+    return best.select("report_id", "evidence_id", F.col("b.ru").alias("report_unit"), F.col("b.eu").alias("evidence_unit"), F.col("b.residual").alias("residual"), "combinations", (F.col("combinations") == 1).alias("unique"))
 
 
 def solve_identity_units(df: DataFrame, exponents: Mapping[str, float], candidates: Mapping[str, Sequence[tuple[str, float]]], group: Sequence[str], tie: float = 1e-6) -> DataFrame:

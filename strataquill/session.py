@@ -42,13 +42,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     The table is removed when the application ends, or before by ``remove_written``.
     """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing is written to yet; what will be is removed as ``written`` says."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     system, place = _file_system(spark, path)
     system.deleteOnExit(place)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 #: Tables written to shared folders, by application.

@@ -60,6 +60,26 @@ def test_unit_spellings():
     assert units.find_unit("in kg")[1] == "mass" and units.find_unit("经审计") is None
 
 
+def test_unknown_units_are_refused(spark):
+    for note in ("万美元", "单位：万港元", "以亿日元列示", "in USD mn", "元/吨", "2023年度报告", "见附注五"):
+        assert units.find_unit(note) is None
+    cases = {"万美元": True, "单位：万桶": True, "in USD mn": True, "经审计": False, "合并报表": False, "2023年度报告": False, None: False}
+    assert {n: units.names_other_unit(n) for n in cases} == cases
+    rows = [(" 万元 ", None, 1e4, None), (None, "单位：千万元", 1e7, None), ("", "RMB'000", 1e3, None), (None, "经审计", 1, None), (None, None, 1, None), ("ＲＭＢ bn", "x", 1e9, None), (None, "除特别注明外，以CNY thousand列示", 1e3, None), (None, "亿元口径", 1e8, None),
+            ("万美元", None, None, "FOREIGN_CURRENCY"), (None, "单位：万港元", None, "FOREIGN_CURRENCY"), ("桶", "元", None, "UNKNOWN_UNIT"), (None, "单位：万桶", None, "UNKNOWN_UNIT"), ("kWh", None, None, "NON_MONEY_UNIT"), (None, "in kg", None, "NON_MONEY_UNIT"), (None, "2023年度报告", 1, None)]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, u string, n string").select("i", units.money_unit(F.col("u"), F.col("n")).alias("m")).orderBy("i").collect()
+    assert [(None if r.m["size"] is None else float(r.m["size"]), r.m.reason) for r in df] == [r[2:] for r in rows]
+    report = [figure("a", 12345.0, "万美元"), figure("b", 12345.0, None, "单位：万桶"), figure("c", 123450000.0)]
+    assert found(spark, [block("x", "存货 12345 万元"), block("y", "存货 12345 万美元")], report) == {("c", "x")}
+
+
+def test_candidate_units_compete_by_residual(spark):
+    """Neither number has a unit beside it; of the units the record names, the one that fits is taken."""
+    blocks = [block("a", "存货（万元）（经审计，千元口径）12345"), block("b", "存货 12345", '{"unit": "万元", "value": "1"}')]
+    m = units.match_restated(units.report_quantities(spark.createDataFrame([figure("r", 123450000.0)], REPORT)), units.evidence_quantities(spark.createDataFrame(blocks, BLOCKS)))
+    assert sorted((r.evidence_id, r.evidence_unit, r.unique) for r in m.collect()) == [("a", "万元", True), ("b", "万元", True)]
+
+
 def test_identity_units(spark):
     rows = [("s", 7.8 * v, 7800.0, v * 1e-3) for v in (1.0, 2.5, 4.0)] + [("s", None, 1.0, 1.0), ("t", None, None, None)]
     df = spark.createDataFrame(rows, "source string, mass double, density double, volume double")
@@ -91,6 +111,32 @@ def test_nested_bad_input(spark):
     assert links(spark, [("k", deep, "x")]) == [("k", "k", "r")]
 
 
+def test_nested_to_any_depth(spark):
+    """Deep documents, also in what becomes a payload, are read and written without recursion."""
+    n = 50_000
+    deep = '{"children": [' * n + '{"row_id": "r", "x": ' + '{"y": [' * n + "1" + "]}" * n + "}" + "]}" * n
+    rows = nested.emit_nested(spark.createDataFrame([("k", deep)], "k string, j string"), "k", "j", "t").collect()
+    assert [(r.parent_id, r.child_id) for r in rows] == [("k", "r")]
+    assert rows[0].payload == '{"row_id": "r", "x": ' + '{"y": [' * n + "1" + "]}" * n + "}"
+
+
+def test_deep_decoder_is_that_of_json():
+    good = ['{}', '[]', ' { "a" : [ 1 , -2.5e3 , true , false , null , "\\u00e9\\n" , { } , [ ] ] , "b":{"c":[[1],[2]]}} ', '"x"', "0", "[0.5]"]
+    bad = ["", "{", "[1,]", '{"a":}', '{"a" 1}', "[1 2]", "01", "nul", '{"a":1,}', "[]]", "{]", '"x', "[NaN]", "{1:2}"]
+    for t in good:
+        assert nested.decode_deep(t) == json.loads(t) and json.loads(nested.encode_deep(json.loads(t))) == json.loads(t)
+    for t in bad:
+        with pytest.raises(ValueError):
+            nested.decode_deep(t)
+
+
+def test_payload_keeps_all_fields(spark):
+    doc = {"claims": [{"claim_id": "c", "tags": ["a", "b"], "meta": {"n": 1, "more": {"z": []}}, "empty": {}, "none": None, "enc": json.dumps({"q": [1]}), "box": {"gap": {"gap_id": "g", "reason": "x"}, "kept": True}, "only": [{"note_id": "n1"}]}]}
+    rows = nested.emit_nested(spark.createDataFrame([("k", json.dumps(doc))], "k string, j string"), "k", "j", "t").collect()
+    got = {r.child_id: json.loads(r.payload) for r in rows}
+    assert got == {"c": {"claim_id": "c", "tags": ["a", "b"], "meta": {"n": 1, "more": {"z": []}}, "empty": {}, "none": None, "enc": {"q": [1]}, "box": {"kept": True}}, "g": {"gap_id": "g", "reason": "x"}, "n1": {"note_id": "n1"}}
+
+
 def brute(node, parent):
     """Recursive reading of the same rules for plain lists."""
     out = []
