@@ -36,6 +36,15 @@ def admission_failure(expected: Mapping[str, Column], order: Sequence[str]) -> C
     return chain
 
 
+def first_failure(conditions: Mapping[str, Column]) -> Column:
+    """Name of the first condition that is false or unknown, in the order given; null where all hold."""
+    chain = None
+    for name, holds in conditions.items():
+        fails = ~F.coalesce(holds, F.lit(False))
+        chain = F.when(fails, F.lit(name)) if chain is None else chain.when(fails, F.lit(name))
+    return chain
+
+
 def map_items(candidates: DataFrame, label: str, rules: DataFrame) -> DataFrame:
     """Candidates with ``mapped_code`` and ``mapping_status`` (mapped, ambiguous, unmapped).
 
@@ -92,12 +101,66 @@ def reconcile(facts: DataFrame, keys: Sequence[str], source: str = "source", val
     return states.unionByName(rest.select(*keys, "sources", "values", "records", *bounds, F.lit("INSUFFICIENT_SCOPE").alias("state")))
 
 
-def identity_check(wide: DataFrame, keys: Sequence[str], whole: str, parts: Sequence[tuple[str, int]], tolerance: Column) -> DataFrame:
-    """PASS if whole - sum(sign * part) is within the tolerance, FAIL if not, NOT_RUN_MISSING_INPUT without all inputs."""
-    total = sum((F.col(c) * s for c, s in parts[1:]), F.col(parts[0][0]) * parts[0][1])
-    diff = F.col(whole) - total
-    result = F.when(diff.isNull(), "NOT_RUN_MISSING_INPUT").when(F.abs(diff) <= tolerance, "PASS").otherwise("FAIL")
-    return wide.select(*keys, diff.alias("difference"), result.alias("result"))
+# The checks within one source. A check holds if every total equals the sum of its parts, within half a unit
+# for each item that takes part.
+CHECKS: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
+    "BALANCE_SHEET_IDENTITY": (("TOTAL_ASSETS", ("TOTAL_LIAB", "TOTAL_EQUITY")),),
+    "CASH_BALANCE_RECONCILIATION": (("CASH_END", ("CASH_BEGIN", "NET_CASH_INCREASE")),),
+    "NET_INCOME_CASH_START": (("NET_PROFIT", ("CF_NET_PROFIT",)),),
+    "REVENUE_COST_BREAKDOWN": (("OPER_REVENUE", ("OPER_REVENUE_NOTES",)), ("OPER_COST", ("OPER_COST_NOTES",))),
+}
+
+
+def source_checks(facts: DataFrame, keys: Sequence[str], checks: Mapping[str, tuple[tuple[str, tuple[str, ...]], ...]] = CHECKS) -> DataFrame:
+    """(keys, check, difference, tolerance, result, missing, ambiguous) of every check for every source and period.
+
+    PASS if all differences are within half the display unit times the number of items compared, FAIL if one is not,
+    NOT_RUN_MISSING_INPUT if an item is missing or has several values (named in ``missing`` and ``ambiguous``). The unit is
+    the one all records of the group share; without one the tolerance is 0. ``facts`` has the keys, item_code, value,
+    unit_size.
+    """
+    codes = sorted({c for parts in checks.values() for total, items in parts for c in (total, *items)})
+    at = lambda c: F.when(F.col("item_code") == c, F.col("value"))
+    wide = facts.groupBy(*keys).agg(
+        F.when(F.count_distinct("unit_size") == 1, F.max("unit_size")).alias("__unit"), *(F.max(at(c)).alias(c) for c in codes), *(F.count_distinct(at(c)).alias(f"__n_{c}") for c in codes)
+    )
+    rows = []
+    for name, parts in checks.items():
+        used = [c for total, items in parts for c in (total, *items)]
+        lacking = F.array_compact(F.array(*(F.when(F.col(f"__n_{c}") == 0, F.lit(c)) for c in used)))
+        several = F.array_compact(F.array(*(F.when(F.col(f"__n_{c}") > 1, F.lit(c)) for c in used)))
+        difference = [F.col(total) - sum((F.col(c) for c in items[1:]), F.col(items[0])) for total, items in parts]
+        worst = F.greatest(*map(F.abs, difference)) if len(difference) > 1 else F.abs(difference[0])
+        allowed = F.coalesce(F.col("__unit") * F.lit(1 + len(parts[0][1])) / 2, F.lit(0)).cast("decimal(28,2)")
+        ran = (F.size(lacking) == 0) & (F.size(several) == 0)
+        result = F.when(~ran, "NOT_RUN_MISSING_INPUT").when(worst <= allowed, "PASS").otherwise("FAIL")
+        rows.append(F.struct(F.lit(name).alias("check"), F.when(ran, difference[0]).cast("decimal(28,2)").alias("difference"), F.when(ran, allowed).alias("tolerance"), result.alias("result"), F.concat_ws(",", lacking).alias("missing"), F.concat_ws(",", several).alias("ambiguous")))
+    return wide.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")
+
+
+def failed_inputs(facts: DataFrame, results: DataFrame, keys: Sequence[str], record: str, checks: Mapping[str, tuple[tuple[str, tuple[str, ...]], ...]] = CHECKS) -> DataFrame:
+    """(record, check): records that are inputs of a failed check and so are kept out of a snapshot; a check that did not run excludes nothing."""
+    inputs = F.create_map(*(x for name, parts in checks.items() for x in (F.lit(name), F.array(*(F.lit(c) for total, items in parts for c in (total, *items))))))
+    failed = results.where("result = 'FAIL'").select(*keys, "check", F.explode(F.element_at(inputs, F.col("check"))).alias("item_code"))
+    return facts.join(failed, [*keys, "item_code"]).select(record, "check").distinct()
+
+
+#: Exceptions that always block a report, and those that do only for a critical item.
+ALWAYS_BLOCKING = ("QUARANTINED_INPUT", "UNRESOLVED_CONFLICT", "AMBIGUOUS_RESTATEMENT", "STALE_RESOLUTION")
+BLOCKING_IF_CRITICAL = ("MISSING_DIMENSION", "NULL_VALUE", "UNCONFIRMED_MAPPING", "CHECK_FAILED", "MISSING_REQUIRED_ITEM")
+
+
+def report_blocked(exceptions: DataFrame, company: str, critical: Sequence[str]) -> DataFrame:
+    """(company, exceptions, blocking, blocked): whether any exception (kind, item_code) of a company blocks its report."""
+    stop = F.col("kind").isin(*ALWAYS_BLOCKING) | (F.col("kind").isin(*BLOCKING_IF_CRITICAL) & F.col("item_code").isin(*critical))
+    return exceptions.groupBy(company).agg(F.count("*").alias("exceptions"), F.count_if(F.coalesce(stop, F.lit(False))).alias("blocking"), F.coalesce(F.bool_or(stop), F.lit(False)).alias("blocked"))
+
+
+def unique_value(facts: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """One value per key; a key with several distinct values ends the query with an error that names it."""
+    shown = F.concat_ws(" ", *(F.col(k).cast("string") for k in keys))
+    grouped = facts.groupBy(*keys).agg(F.count_distinct(value).alias("__n"), F.max(value).alias(value))
+    return grouped.select(*keys, F.when(F.col("__n") <= 1, F.col(value)).otherwise(F.raise_error(F.concat(F.lit("several values for "), shown)).cast(grouped.schema[value].dataType)).alias(value))
 
 
 def uncovered(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -134,12 +197,16 @@ def changes(facts: DataFrame, keys: Sequence[str], threshold: float = 0.2) -> Da
     return rows.select(*keys, "period_end", "prior_end", "value", "prior_value", change.alias("change"), F.coalesce(F.abs(change) >= threshold, F.lit(False)).alias("flagged"))
 
 
-def shares(facts: DataFrame, whole: Sequence[str], threshold: float = 0.15) -> DataFrame:
-    """Share of each item in the total of its side and period, and whether it reaches the threshold."""
-    total = facts.groupBy(*whole).agg(F.sum("value").alias("side_total"))
-    joined = facts.join(total, list(whole))
-    share = F.try_divide(F.col("value"), F.col("side_total"))
-    return joined.select(*whole, "item_code", "value", "side_total", share.alias("share"), F.coalesce(share >= threshold, F.lit(False)).alias("flagged"))
+def shares(facts: DataFrame, keys: Sequence[str], sides: Mapping[str, Sequence[str]], threshold: float = 0.15) -> DataFrame:
+    """Share of every item in the total item of its side, and whether it reaches the threshold; totals have no row.
+
+    ``sides`` gives the items of each total. Without a total, or with one of zero, the share is null and nothing is flagged.
+    """
+    side = F.create_map(*(F.lit(x) for total, items in sides.items() for c in items for x in (c, total)))
+    rows = facts.withColumn("side", F.try_element_at(side, F.col("item_code"))).where("side is not null")
+    totals = facts.where(F.col("item_code").isin(*sides)).select(*keys, F.col("item_code").alias("side"), F.col("value").alias("side_total"))
+    share = F.try_divide(F.col("value").cast("double"), F.col("side_total").cast("double"))
+    return rows.join(totals, [*keys, "side"], "left").select(*keys, "side", "item_code", "value", "side_total", share.alias("share"), F.coalesce(share >= threshold, F.lit(False)).alias("flagged"))
 
 
 def trend(facts: DataFrame, keys: Sequence[str]) -> DataFrame:

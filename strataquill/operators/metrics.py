@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Formula:
-    """numerator / denominator, each a signed sum of items; ``average`` takes the mean of the denominator with the prior period."""
+    """numerator / denominator, each a signed sum of items; ``average`` takes the mean of the denominator with the prior period.
+
+    ``fallback`` names an item and its proxy, ``combined`` the item that stands in for the averaged one if only it is
+    given in both periods; one basis in one period and the other in the next is refused.
+    """
 
     name: str
     display: str
@@ -20,6 +24,12 @@ class Formula:
     kind: str = "ratio"
     average: bool = False
     fallback: tuple[str, str] | None = None
+    combined: str | None = None
+
+    @property
+    def items(self) -> list[str]:
+        """All items the formula may read."""
+        return sorted({c for c, _ in (*self.numerator, *self.denominator)} | ({self.fallback[1]} if self.fallback else set()) | ({self.combined} if self.combined else set()))
 
 
 def _f(name: str, display: str, top: str, bottom: str = "", kind: str = "ratio", **more) -> Formula:
@@ -43,7 +53,7 @@ FORMULAS: dict[str, Formula] = {
         _f("PROF_OPER_MARGIN", "percent", "OPER_PROFIT", "TOTAL_REVENUE"),
         _f("OPER_ASSET_TURNOVER", "ratio", "TOTAL_REVENUE", "TOTAL_ASSETS", average=True),
         _f("OPER_INV_TURNOVER", "ratio", "OPER_COST", "INVENTORY", average=True),
-        _f("OPER_AR_TURNOVER", "ratio", "TOTAL_REVENUE", "AR", average=True),
+        _f("OPER_AR_TURNOVER", "ratio", "TOTAL_REVENUE", "AR", average=True, combined="AR_COMBINED"),
         _f("CASH_OCF_TO_NP", "ratio", "OCF", "NET_PROFIT"),
         _f("CASH_OCF_TO_ASSET", "ratio", "OCF", "TOTAL_ASSETS"),
         _f("CASH_OCF_TO_REV", "ratio", "OCF", "TOTAL_REVENUE"),
@@ -64,58 +74,98 @@ def _total(parts: Sequence[tuple[str, int]], value) -> Column:
     return out
 
 
+#: Values are exact decimals; quotients keep sixteen places.
+MONEY, QUOTIENT = "decimal(22,2)", "decimal(38,16)"
+
+
+def _quotient(top: Column, bottom: Column) -> Column:
+    return F.try_divide(top.cast(MONEY), bottom.cast(MONEY)).cast(QUOTIENT)
+
+
+def _out(value: Column | None, status: str, reason: str | None = None) -> Column:
+    return F.struct((F.lit(None) if value is None else value).cast(QUOTIENT).alias("value"), F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
+
+
+def _ratio(top: Column, bottom: Column, status: str = "CALCULATED_EXACT", reason: str | None = None) -> Column:
+    return F.when(bottom == 0, _out(None, "ZERO_DENOMINATOR")).otherwise(_out(_quotient(top, bottom), status, reason))
+
+
+def _averaged(f: Formula, now, prior) -> Column:
+    """Over the mean of two periods of the same basis."""
+    top = _total(f.numerator, now)
+    mean_of = lambda a, b: F.when(a + b == 0, _out(None, "ZERO_DENOMINATOR")).otherwise(_out(_quotient(top * 2, a + b), "CALCULATED_EXACT"))
+    a, b = _total(f.denominator, now), _total(f.denominator, prior)
+    chain = F.when(top.isNull(), _out(None, "MISSING_INPUT")).when(a.isNotNull() & b.isNotNull(), mean_of(a, b))
+    if f.combined:
+        c, d = now(f.combined), prior(f.combined)
+        chain = chain.when(c.isNotNull() & d.isNotNull(), mean_of(c, d))
+        chain = chain.when((a.isNotNull() | b.isNotNull()) & (c.isNotNull() | d.isNotNull()), _out(None, "MISSING_INPUT", "MIXED_RECEIVABLE_BASIS_FORBIDDEN"))
+        a = F.coalesce(a, c)
+    return chain.when(a.isNull(), _out(None, "MISSING_INPUT")).otherwise(_out(None, "MISSING_PRIOR_PERIOD"))
+
+
 def _result(f: Formula, now, prior, annual: Column) -> Column:
     """struct(value, status, reason) of one formula; ``now`` and ``prior`` give an item's column."""
-    none = F.lit(None).cast("double")
-    out = lambda value, status, reason=None: F.struct(value.cast("double").alias("value"), F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
     if f.kind == "growth":
         a, b = now(f.numerator[0][0]), prior(f.numerator[0][0])
-        return F.when(~annual, out(none, "NOT_APPLICABLE", "annual_only")).when(a.isNull(), out(none, "MISSING_INPUT")).when(b.isNull(), out(none, "MISSING_PRIOR_PERIOD")).when(b == 0, out(none, "ZERO_DENOMINATOR")).otherwise(out((a - b) / F.abs(b), "CALCULATED"))
+        return F.when(~annual, _out(None, "NOT_APPLICABLE", "annual_only")).when(a.isNull(), _out(None, "MISSING_INPUT")).when(b.isNull(), _out(None, "MISSING_PRIOR_PERIOD")).otherwise(_ratio(a - b, F.abs(b)))
     if f.kind == "partial_sum":
         codes = [c for c, _ in f.numerator]
         there = sum((now(c).isNotNull().cast("int") for c in codes), F.lit(0))
-        summed = sum((F.coalesce(now(c), F.lit(0)) for c in codes), F.lit(0))
-        return F.when(there == 0, out(none, "MISSING_INPUT")).when(there < len(codes), out(none, "PARTIAL_INPUT")).otherwise(out(summed, "CALCULATED"))
-    top = _total(f.numerator, now)
-    if f.kind == "sum":
-        return F.when(top.isNull(), out(none, "MISSING_INPUT")).otherwise(out(top, "CALCULATED"))
-    bottom = _total(f.denominator, now)
+        return F.when(there == 0, _out(None, "MISSING_INPUT")).when(there < len(codes), _out(None, "PARTIAL_INPUT")).otherwise(_out(_total(f.numerator, now), "CALCULATED_EXACT"))
     if f.average:
-        before = _total(f.denominator, prior)
-        mean = (bottom + before) / 2
-        return F.when(top.isNull() | bottom.isNull(), out(none, "MISSING_INPUT")).when(before.isNull(), out(none, "MISSING_PRIOR_PERIOD")).when(mean == 0, out(none, "ZERO_DENOMINATOR")).otherwise(out(top / mean, "CALCULATED"))
-    chain = F.when(top.isNotNull() & (bottom == 0), out(none, "ZERO_DENOMINATOR")).when(top.isNotNull() & bottom.isNotNull(), out(top / bottom, "CALCULATED"))
+        return _averaged(f, now, prior)
+    top, bottom = _total(f.numerator, now), _total(f.denominator, now)
+    if f.kind == "sum":
+        return F.when(top.isNull(), _out(None, "MISSING_INPUT")).otherwise(_out(top, "CALCULATED_EXACT"))
+    if f.name == "SOLV_QUICK_RATIO":
+        top = top - F.coalesce(F.col("__excluded"), F.lit(0))
+    chain = F.when(top.isNotNull() & bottom.isNotNull(), _ratio(top, bottom))
     if f.fallback:
         lacks, uses = f.fallback
         other = lambda c: now(uses) if c == lacks else now(c)
         t, b = _total(f.numerator, other), _total(f.denominator, other)
-        chain = chain.when(now(lacks).isNull() & t.isNotNull() & (b == 0), out(none, "ZERO_DENOMINATOR")).when(now(lacks).isNull() & t.isNotNull() & b.isNotNull(), out(t / b, "CALCULATED_PROXY", f"PROXY_{uses}"))
-    return chain.otherwise(out(none, "MISSING_INPUT"))
+        chain = chain.when(now(lacks).isNull() & t.isNotNull() & b.isNotNull(), _ratio(t, b, "CALCULATED_PROXY", f"PROXY_{uses}"))
+    return chain.otherwise(_out(None, "MISSING_INPUT"))
+
+
+def policy_exclusions(facts: DataFrame, references: DataFrame, record: str, company: str = "company_id") -> DataFrame:
+    """(company, period_end, amount): per company and period the sum of the records a policy refers to, each once.
+
+    ``references`` has company and the ids of records to leave out; an id that is no record of that company counts nothing.
+    """
+    named = references.select(company, record).where(f"{company} is not null and {record} is not null").distinct()
+    return facts.join(named, [company, record], "left_semi").select(company, "period_end", record, "value").distinct().groupBy(company, "period_end").agg(F.sum("value").alias("amount"))
 
 
-def compute(facts: DataFrame, company: str = "company_id", names: Sequence[str] | None = None, blocked: DataFrame | None = None) -> DataFrame:
-    """(company, period_end, formula, value, status, reason) of every formula at every period of a company.
+def compute(facts: DataFrame, company: str = "company_id", names: Sequence[str] | None = None, blocked: DataFrame | None = None, exclusions: DataFrame | None = None) -> DataFrame:
+    """(company, period_end, formula, display, value, status, reason) of every formula at every period of a company.
 
     ``facts`` has company, period_end, item_code and a value that is unique per key. Items become columns in one
     aggregation, the prior period (a year before for year ends, a half or a quarter otherwise) joins by the calendar, and all
-    formulas come out of one row without another shuffle. ``blocked`` (company, item_code, reason) blocks every formula
-    that uses the item, in all periods. An unknown name raises KeyError: nothing outside the registry is evaluated.
+    formulas come out of one row without another shuffle, in exact decimals. ``blocked`` (company, item_code, reason)
+    blocks every formula that reads the item, in all periods. ``exclusions`` (company, period_end, amount) is taken off
+    the quick assets. An unknown name raises KeyError: nothing outside the registry is evaluated.
     """
     from strataquill.functions.columns import period_type, prior_period
 
     chosen = [FORMULAS[n] for n in (names or FORMULAS)]
-    codes = sorted({c for f in chosen for c, _ in (*f.numerator, *f.denominator)} | {f.fallback[1] for f in chosen if f.fallback})
+    codes = sorted({c for f in chosen for c in f.items})
     used = facts.where(F.col("item_code").isin(codes) & F.col("period_end").isNotNull())
-    wide = used.groupBy(company, "period_end").agg(*(F.max(F.when(F.col("item_code") == c, F.col("value").cast("double"))).alias(c) for c in codes))
+    wide = used.groupBy(company, "period_end").agg(*(F.max(F.when(F.col("item_code") == c, F.col("value").cast(MONEY))).alias(c) for c in codes))
     wide = wide.withColumn("__prior_end", prior_period(F.col("period_end"), period_type(F.col("period_end"))))
     before = wide.select(company, F.col("period_end").alias("__prior_end"), *(F.col(c).alias(f"__p_{c}") for c in codes))
     both = wide.join(before, [company, "__prior_end"], "left")
+    if exclusions is None:
+        both = both.withColumn("__excluded", F.lit(None).cast(MONEY))
+    else:
+        both = both.join(exclusions.select(company, "period_end", F.col("amount").cast(MONEY).alias("__excluded")), [company, "period_end"], "left")
     annual = period_type(F.col("period_end")) == "annual"
-    results = F.array(*(F.struct(F.lit(f.name).alias("formula"), F.lit(f.display).alias("display"), F.array(*(F.lit(c) for c in sorted({c for c, _ in (*f.numerator, *f.denominator)}))).alias("inputs"), _result(f, F.col, lambda c: F.col(f"__p_{c}"), annual).alias("r")) for f in chosen))
+    results = F.array(*(F.struct(F.lit(f.name).alias("formula"), F.lit(f.display).alias("display"), F.array(*map(F.lit, f.items)).alias("inputs"), _result(f, F.col, lambda c: F.col(f"__p_{c}"), annual).alias("r")) for f in chosen))
     rows = both.select(company, "period_end", F.explode(results).alias("x")).select(company, "period_end", "x.formula", "x.display", "x.inputs", "x.r.value", "x.r.status", "x.r.reason")
     if blocked is None:
         return rows.drop("inputs")
-    bars = blocked.groupBy(company).agg(F.map_from_entries(F.collect_set(F.struct("item_code", "reason"))).alias("__bars"))
+    bars = blocked.groupBy(company, "item_code").agg(F.min("reason").alias("reason")).groupBy(company).agg(F.map_from_entries(F.collect_list(F.struct("item_code", "reason"))).alias("__bars"))
     joined = rows.join(bars, company, "left").withColumn("__hit", F.array_min(F.filter("inputs", lambda c: F.coalesce(F.map_contains_key("__bars", c), F.lit(False)))))
     stop = F.col("__hit").isNotNull()
     return joined.select(company, "period_end", "formula", "display", F.when(~stop, F.col("value")).alias("value"), F.when(stop, "BLOCKED").otherwise(F.col("status")).alias("status"), F.when(stop, F.try_element_at("__bars", "__hit")).otherwise(F.col("reason")).alias("reason"))

@@ -224,7 +224,7 @@ def money_unit(unit: Column, note: Column) -> Column:
     ``size`` is a decimal, what one unit is in yuan, and null with a reason where the figure is no money of ours:
     UNKNOWN_UNIT for a unit that is named but not known, FOREIGN_CURRENCY, or NON_MONEY_UNIT. Built-in expressions only.
     """
-    squeeze = lambda c: F.regexp_replace(F.lower(fold_width(c)), "\\s+", "")
+    squeeze = lambda c: F.replace(F.regexp_replace(F.lower(fold_width(c)), "\\s+", ""), F.lit("㎡"), F.lit("m2"))
     names = list(UNITS)
     table = F.create_map(*itertools.chain(*((F.lit(n), F.struct(F.lit(UNITS[n][0]).alias("dimension"), F.lit(Decimal(UNITS[n][1]) if UNITS[n][0] == "money" else None).cast("decimal(20,2)").alias("size"))) for n in names)))
     spelled = "|".join(f"\\Q{n}\\E" for n in sorted(names, key=len, reverse=True))

@@ -83,22 +83,57 @@ def test_formulas(spark):
     got = {(r.period_end.month, r.period_end.year, r.formula): (r.value, r.status, r.reason) for r in M.compute(facts).collect()}
     assert len(M.FORMULAS) == 28
     year = lambda f: got[12, 2023, f]
-    assert year("SOLV_DEBT_RATIO") == (0.25, "CALCULATED", None)
+    assert year("SOLV_DEBT_RATIO") == (0.25, "CALCULATED_EXACT", None)
     assert year("PROF_NET_MARGIN")[1] == "ZERO_DENOMINATOR"
-    assert year("OPER_ASSET_TURNOVER") == (0.0, "CALCULATED", None)
+    assert year("OPER_ASSET_TURNOVER") == (0.0, "CALCULATED_EXACT", None)
     assert year("SOLV_INTEREST_COVER") == (4.0, "CALCULATED_PROXY", "PROXY_FIN_EXP")
-    assert year("GROWTH_ASSET") == (1.0, "CALCULATED", None)
+    assert year("GROWTH_ASSET") == (1.0, "CALCULATED_EXACT", None)
     assert year("GROWTH_LIABILITY")[1] == "MISSING_PRIOR_PERIOD"
     assert year("INTEREST_BEARING_DEBT")[1] == "PARTIAL_INPUT"
     assert year("SOLV_CURRENT_RATIO")[1] == "MISSING_INPUT"
     assert got[6, 2023, "GROWTH_ASSET"][1] == "NOT_APPLICABLE"
     blocked = spark.createDataFrame([("c", "TOTAL_LIAB", "UNRESOLVED_CONFLICT")], "company_id string, item_code string, reason string")
     out = {r.formula: r.status for r in M.compute(facts, names=["SOLV_DEBT_RATIO", "PROF_ROA"], blocked=blocked).where("year(period_end) = 2023 and month(period_end) = 12").collect()}
-    assert out == {"SOLV_DEBT_RATIO": "BLOCKED", "PROF_ROA": "CALCULATED"}
+    assert out == {"SOLV_DEBT_RATIO": "BLOCKED", "PROF_ROA": "CALCULATED_EXACT"}
     with pytest.raises(KeyError):
         M.compute(facts, names=["__import__"])
 
 
+def test_receivable_basis_and_exclusions(spark):
+    d = dt.date
+    now, ago = d(2023, 12, 31), d(2022, 12, 31)
+    rows = [(c, now, "TOTAL_REVENUE", 100) for c in "abcdef"] + [("a", now, "AR", 10), ("a", ago, "AR", 30), ("b", now, "AR", 10), ("b", ago, "AR_COMBINED", 30), ("c", now, "AR_COMBINED", 10), ("c", ago, "AR_COMBINED", 30), ("c", now, "AR", 1), ("d", now, "AR", 10), ("e", ago, "AR", 10), ("f", now, "AR", 5), ("f", ago, "AR", -5)]
+    facts = spark.createDataFrame(rows, "company_id string, period_end date, item_code string, value int")
+    got = {r.company_id: (r.value and float(r.value), r.status, r.reason) for r in M.compute(facts, names=["OPER_AR_TURNOVER"]).where("year(period_end) = 2023").collect()}
+    assert got == {"a": (5.0, "CALCULATED_EXACT", None), "b": (None, "MISSING_INPUT", "MIXED_RECEIVABLE_BASIS_FORBIDDEN"), "c": (5.0, "CALCULATED_EXACT", None), "d": (None, "MISSING_PRIOR_PERIOD", None), "e": (None, "MISSING_INPUT", None), "f": (None, "ZERO_DENOMINATOR", None)}
+    rows = [("a", now, "CUR_ASSETS", 100, "r1"), ("a", now, "INVENTORY", 10, "r2"), ("a", now, "PREPAID", 10, "r3"), ("a", now, "CUR_LIAB", 10, "r4"), ("a", now, "OTHER", 30, "r5"), ("b", now, "OTHER", 30, "r6")]
+    facts = spark.createDataFrame(rows, "company_id string, period_end date, item_code string, value int, record string")
+    references = spark.createDataFrame([("a", "r5"), ("a", "r5"), ("a", "r6"), ("a", None)], "company_id string, record string")
+    out = M.compute(facts, names=["SOLV_QUICK_RATIO"], exclusions=M.policy_exclusions(facts, references, "record")).collect()
+    assert [(r.company_id, float(r.value)) for r in out] == [("a", 5.0)]
+
+
+def test_source_checks(spark):
+    items = {"BALANCE": {"TOTAL_ASSETS": 100, "TOTAL_LIAB": 60, "TOTAL_EQUITY": 41}, "CASH": {"CASH_END": 10, "CASH_BEGIN": 4, "NET_CASH_INCREASE": 3}}
+    rows = [(c, i, v, u) for c, u in (("fine", 10), ("tight", 1)) for part in items.values() for i, v in part.items()] + [("fine", "NET_PROFIT", 5, 10), ("twice", "NET_PROFIT", 5, 1), ("twice", "NET_PROFIT", 6, 1), ("twice", "CF_NET_PROFIT", 6, 1)]
+    rows += [("notes", i, v, 2) for i, v in (("OPER_REVENUE", 10), ("OPER_REVENUE_NOTES", 9), ("OPER_COST", 5), ("OPER_COST_NOTES", 9))] + [("mixed", "TOTAL_ASSETS", 2, 1), ("mixed", "TOTAL_LIAB", 1, 10), ("mixed", "TOTAL_EQUITY", 1, 10)]
+    facts = spark.createDataFrame([(*r, f"{i}") for i, r in enumerate(rows)], "c string, item_code string, value int, unit_size int, record string")
+    out = A.source_checks(facts, ["c"])
+    got = {(r.c, r.check): (r.result, r.missing, r.ambiguous) for r in out.collect()}
+    assert got["fine", "BALANCE_SHEET_IDENTITY"][0] == got["fine", "CASH_BALANCE_RECONCILIATION"][0] == "PASS"
+    assert got["tight", "BALANCE_SHEET_IDENTITY"][0] == "PASS" and got["tight", "CASH_BALANCE_RECONCILIATION"][0] == "FAIL"
+    assert got["fine", "NET_INCOME_CASH_START"] == ("NOT_RUN_MISSING_INPUT", "CF_NET_PROFIT", "") and got["twice", "NET_INCOME_CASH_START"] == ("NOT_RUN_MISSING_INPUT", "", "NET_PROFIT")
+    assert got["notes", "REVENUE_COST_BREAKDOWN"][0] == "FAIL" and got["mixed", "BALANCE_SHEET_IDENTITY"][0] == "PASS"
+    names = {r.record: (r.c, r.item_code) for r in facts.collect()}
+    failed = {names[r.record] for r in A.failed_inputs(facts, out, ["c"], "record").collect()}
+    assert failed == {("tight", i) for i in items["CASH"]} | {("notes", i) for i in ("OPER_REVENUE", "OPER_REVENUE_NOTES", "OPER_COST", "OPER_COST_NOTES")}
+    exceptions = spark.createDataFrame([("a", "UNRESOLVED_CONFLICT", "X"), ("b", "NULL_VALUE", "X"), ("b", "NULL_VALUE", "T"), ("c", "NULL_VALUE", "X"), ("c", "OTHER", None)], "c string, kind string, item_code string")
+    assert {r.c: (r.exceptions, r.blocking, r.blocked) for r in A.report_blocked(exceptions, "c", ["T"]).collect()} == {"a": (1, 1, True), "b": (2, 1, True), "c": (2, 0, False)}
+    assert A.unique_value(spark.createDataFrame([("a", 1), ("a", 1), ("b", None)], "k string, value int"), ["k"]).count() == 2
+    with pytest.raises(Exception, match="several values for a"):
+        A.unique_value(spark.createDataFrame([("a", 1), ("a", 2)], "k string, value int"), ["k"]).collect()
+
+
 def test_transitions_and_pointers(spark):
     rows = [("a", 1, "draft"), ("a", 2, "final"), ("a", 3, "draft"), ("a", 4, "final"), ("b", 1, "final"), ("b", 2, "odd")]
     df = spark.createDataFrame(rows, "k string, t int, s string")
