@@ -130,7 +130,12 @@ def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.validate(table(spark, sf_dir, "documents"), "doc_id", "text", "company_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "search_scores": search_scores, "search_metrics": search_metrics, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p9_validation": p9_validation, "p10_found": p10_found, "p10_validation": p10_validation}
+def p10_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts of wordings never seen in the fit are found."""
+    return residue.validate_families(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "search_scores": search_scores, "search_metrics": search_metrics, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p9_validation": p9_validation, "p10_found": p10_found, "p10_validation": p10_validation, "p10_families": p10_families}
 _WIDE = "".join(map(chr, (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))))
 _NARROW = "".join(map(chr, (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B))))
 

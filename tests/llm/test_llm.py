@@ -363,6 +363,19 @@ def test_residue_on_unseen_documents(spark):
     assert (told & ~truth).sum() <= 1 and (told & truth).sum() >= 0.9 * truth.sum()
 
 
+@here
+def test_short_sentences_and_unseen_wordings(spark):
+    """Ordinary one-line disclosures of words the fit has not seen are kept; most unseen wordings of residue are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = residue.training_texts(docs, "doc_id", "text", 20000)
+    plain = ["公司不存在重大诉讼。", "本期债券不设担保。", "The bonds are unsecured.", "公司无对外担保。", "审计意见为标准无保留意见。", "不适用", "报告期内无重大变化。", "No dividends were paid.", "Die Anleihe ist unbesichert.", "L'émetteur n'a pas de litige.", "当社に重要な訴訟はない。", "公司住所未发生变更。", "募集资金已全部使用完毕。", "Interest is paid annually."]
+    model = residue.fit(texts)
+    assert not model.judge(plain).any()
+    assert (model.judge(["系统维护中，请稍后访问本页面。", "HTTP Error 502: the server could not complete your request.", "Please log in to view this page."]) == 2).all()
+    folds = residue.held_out_families(texts, 3)
+    assert sum(f[3] for f in folds) >= 0.6 * sum(f[2] for f in folds) and sum(f[4] for f in folds) <= 3
+
+
 def test_residue_odd_input(spark):
     texts = ["系统繁忙，请稍后再试。", "净利润增长了百分之五，公司经营稳定。", None, "", "\n", "金额为____元。"] * 20
     got = {(int(r.id) % 6, r.kind) for r in residue.find_residue(frame(spark, texts), "id", "text").collect()}
