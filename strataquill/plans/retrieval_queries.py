@@ -22,11 +22,11 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.term_statistics(_docs(spark, sf_dir), "doc_id", F.col("text"))
+    return R.term_statistics(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(_docs(spark, sf_dir), "doc_id", F.col("text"), _cases(spark, sf_dir), "case_id", F.col("question"))
+    return R.bm25(_docs(spark, sf_dir), "doc_id", "text", _cases(spark, sf_dir), "case_id", F.col("question"))
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def dense_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_question = bm25_search(spark, sf_dir).select("case_id", "doc_id", "rank").withColumn("channel", F.lit("question"))
-    by_passage = R.bm25(_docs(spark, sf_dir), "doc_id", F.col("text"), _cases(spark, sf_dir), "case_id", F.col("notes")).select("case_id", "doc_id", "rank").withColumn("channel", F.lit("notes"))
+    by_passage = R.bm25(_docs(spark, sf_dir), "doc_id", "text", _cases(spark, sf_dir), "case_id", F.col("notes")).select("case_id", "doc_id", "rank").withColumn("channel", F.lit("notes"))
     return by_question.unionByName(by_passage)
 
 

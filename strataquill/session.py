@@ -65,6 +65,12 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
 def remove_written(spark: SparkSession) -> int:
     """Removes the tables ``written`` so far in this application; returns how many. No frame built on them may be used after."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])

@@ -254,4 +254,4 @@ def test_empty_tables(spark):
     facts = spark.createDataFrame([], "company_id string, period_end date, item_code string, value double, source string, low double, high double, unit string")
     assert M.compute(facts).count() == 0 and A.reconcile(facts, ["company_id", "item_code"]).count() == 0 and A.trend(facts, ["company_id"]).count() == 0
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert R.bm25(docs, "doc_id", F.col("text"), docs.select(F.col("doc_id").alias("q"), "text"), "q", F.col("text")).count() == 0
+    assert R.bm25(docs, "doc_id", "text", docs.select(F.col("doc_id").alias("q"), "text"), "q", F.col("text")).count() == 0
