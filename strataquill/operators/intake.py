@@ -103,7 +103,8 @@ def resume_check(runs: DataFrame, key: str, order: str, inputs: Sequence[str], d
 
 
 def alias_spans(text: Column, aliases: Mapping[str, str]) -> Column:
-    """array<struct(start, end, code)> of all places where an alias stands and no longer alias encloses it."""
+    """array<struct(start, end, code)> of all places where an alias stands and no longer alias encloses it; empty for null."""
+
     def places(alias: str, code: str) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(len(alias))) == alias)
         return F.transform(at, lambda i: F.struct(i.alias("start"), (i + len(alias)).alias("end"), F.lit(code).alias("code")))

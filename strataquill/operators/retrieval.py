@@ -208,7 +208,7 @@ def expand(blocks: DataFrame, anchors: DataFrame, scope: list[str], after: int,
 
     Reading stops before the first heading, at a page more than ``pages`` after the anchor's, before the block with which
     the text would exceed ``chars`` characters, and after ``after`` blocks. ``end_reason`` tells on the last block read
-    what ended it: heading, pages, chars, blocks or document.
+    what ended it, the first that applies of document, heading, pages, chars and blocks.
     """
     placed, at = _placed(blocks.select(*scope, "evidence_id", "page_number", "block_index", "evidence_type", F.length(F.coalesce("text", F.lit(""))).alias("n")), anchors, scope, "true")
     asked = at.select(*scope, "anchor_id", "anchor_page", "anchor_place", F.explode(F.sequence(F.lit(1), F.lit(after + 1))).alias("offset")).withColumn("place", F.col("anchor_place") + F.col("offset"))

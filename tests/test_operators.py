@@ -12,8 +12,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strataquill.functions import columns as C
+from strataquill.functions import periods as P
 from strataquill.operators import evaluation as E
 from strataquill.operators import facts as A
+from strataquill.operators import intake as K
 from strataquill.operators import intervals as I
 from strataquill.operators import metrics as M
 from strataquill.operators import retrieval as R
@@ -197,12 +199,92 @@ def test_verification(spark):
     assert values(spark, V.claimed_direction, ["收入增长", "收入增长、成本下降", "持平", "无", None]) == ["increased", "mixed", "unchanged", None, None]
 
 
+def test_integrity_and_inventory(spark):
+    blocks = spark.createDataFrame([("d", "1", "e", "h", 1), ("d", "1", "e", "g", 1), ("d", "2", "f", "h", 9), ("d", "3", "g", "h", 1), ("x", "1", "i", "h", 1), (None, "1", "j", "h", 1)], "doc string, ver string, evidence_id string, content_hash string, page_number int")
+    versions = spark.createDataFrame([("d", "1", 3), ("d", "2", 3), ("d", "3", 3), ("d", "4", 3), (None, "1", 1)], "doc string, ver string, page_count int")
+    bad = K.integrity_failures(blocks, versions, ["doc", "ver"])
+    assert {(r.doc, r.ver): r.reasons for r in bad.collect()} == {("d", "1"): "HASH_CONFLICT", ("d", "2"): "PAGE_OUT_OF_RANGE", ("x", "1"): "NO_VERSION", (None, "1"): "NO_VERSION"}
+    assert {r.evidence_id for r in K.without_quarantined(blocks, bad, ["doc", "ver"]).collect()} == {"g", "j"}
+    got = {(r.doc, r.ver): (r.expected, r.actual, r.status) for r in K.inventory_difference(versions, blocks, ["doc", "ver"]).collect()}
+    assert got == {("d", "1"): (1, 2, "matched"), ("d", "2"): (1, 1, "matched"), ("d", "3"): (1, 1, "matched"), ("d", "4"): (1, 0, "missing"), ("x", "1"): (0, 1, "extra"), (None, "1"): (1, 1, "matched")}
+    assert K.integrity_failures(blocks.limit(0), versions.limit(0), ["doc", "ver"]).count() == 0
+
+
 def test_neighbours(spark):
     blocks = spark.createDataFrame([("d", f"e{i}", i // 3, i % 3) for i in range(8)], "doc string, evidence_id string, page_number int, block_index int")
     anchors = spark.createDataFrame([("d", "e4", 1, 1)], "doc string, anchor_id string, page_number int, block_index int")
     assert {(r.evidence_id, r.offset) for r in R.neighbours(blocks, anchors, ["doc"], 2, 1).collect()} == {("e2", -2), ("e3", -1), ("e5", 1)}
 
 
+def test_expansion_budgets(spark):
+    kinds = ["table", "paragraph", "paragraph", "paragraph", "heading", "paragraph", "table", "paragraph", "paragraph"]
+    rows = [("d", f"e{i}", i // 4, i % 4, k, "x" * 100) for i, k in enumerate(kinds)] + [("e", "f0", 1, 0, "table", None), ("e", "f1", 1, 1, "paragraph", "y" * 300), ("e", "f2", 9, 0, "paragraph", "y")]
+    blocks = spark.createDataFrame(rows, "doc string, evidence_id string, page_number int, block_index int, evidence_type string, text string")
+    anchors = blocks.where("evidence_type = 'table'").selectExpr("doc", "evidence_id as anchor_id", "page_number", "block_index")
+    read = lambda **b: {r.evidence_id: r.end_reason for r in R.expand(blocks, anchors, ["doc"], **b).collect()}
+    assert read(after=5, pages=9, chars=10**6) == {"e1": None, "e2": None, "e3": "heading", "e7": None, "e8": "document", "f1": None, "f2": "document"}
+    assert read(after=5, pages=2, chars=250) == {"e1": None, "e2": "chars", "e7": None, "e8": "document"}
+    assert read(after=1, pages=2, chars=10**6) == {"e1": "blocks", "e7": "blocks", "f1": "pages"}
+    assert R.expand(blocks.limit(0), anchors, ["doc"], 2, 2, 10).count() == 0
+
+
+def test_stored_index(spark):
+    docs = spark.createDataFrame([(1, "现金流量 cash"), (2, "现金 cash cash"), (3, None), (4, ""), (5, "其他")], "doc_id long, text string")
+    first = R.SearchIndex.of(docs, "doc_id", "text")
+    version = R.SearchIndex.version(docs, "doc_id", "text")
+    assert version == R.SearchIndex.version(docs.repartition(3), "doc_id", "text") != R.SearchIndex.version(docs.where("doc_id < 5"), "doc_id", "text")
+    assert {(r.term, r.df, r.cf) for r in first.terms.collect()} == {("现金", 2, 2), ("金流", 1, 1), ("流量", 1, 1), ("cash", 2, 3), ("其他", 1, 1)}
+    assert first.size.first() == (5, 8 / 5)
+    built = first.postings.inputFiles()
+    assert R.SearchIndex.of(docs.repartition(2), "doc_id", "text").postings.inputFiles() == built
+    asked = spark.createDataFrame([("q", "cash 现金"), ("none", "。"), ("null", None)], "q string, text string")
+    assert [(r.q, r.doc_id, r["rank"]) for r in first.search("doc_id", asked, "q", F.col("text")).orderBy("rank").collect()] == [("q", 2, 1), ("q", 1, 2)]
+    with pytest.raises(ValueError):
+        R.filtered(docs, owner="x")
+
+
+def test_mixed_vector_lengths(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0])] + [(i, [2.0, 2.0, 2.0]) for i in range(210, 10, -1)], "k long, v array<double>")
+    asked = spark.createDataFrame([("two", [1.0, 0.0]), ("three", [1.0, 1.0, 1.0]), ("four", [1.0] * 4)], "q string, qv array<double>")
+    got = {(r.q, r["rank"]): r.k for r in R.nearest(df, "k", "v", asked, "q", "qv", 10).collect()}
+    assert got == {("two", 1): 1, ("two", 2): 2} | {("three", i): i + 10 for i in range(1, 11)}
+
+
+def test_structured_lookup_outcomes(spark):
+    d = dt.date(2023, 12, 31)
+    fields = spark.createDataFrame([("c", d, "CASH", "ok", 5.0), ("c", d, "AR", "ambiguous", None)], "company_id string, period_end date, item_code string, status string, value double")
+    results = spark.createDataFrame([("c", d, "PROF_ROE", "CALCULATED_EXACT", 0.5), ("c", d, "EBITDA", "MISSING_INPUT", None)], "company_id string, period_end date, formula string, status string, value double")
+    rows = [("1", "c", "field", "CASH", d), ("2", "c", "field", "AR", d), ("3", "c", "field", "BONDS", d), ("4", "c", "metric", "PROF_ROE", d), ("5", "c", "metric", "EBITDA", d), ("6", "c", "metric", "X", d), ("7", "c", "field", "CASH", dt.date(2022, 12, 31)), ("8", "z", "field", "CASH", d), ("9", "c", None, None, d), ("10", "c", "field", "CASH", None)]
+    out = R.structured_lookup(spark.createDataFrame(rows, "request_id string, company_id string, target_type string, code string, period_end date"), fields, results)
+    got = {r.request_id: (r.value, r.outcome) for r in out.collect()}
+    assert got == {"1": (5.0, "OK"), "2": (None, "AMBIGUOUS_VALUE"), "3": (None, "FIELD_NOT_FOUND"), "4": (0.5, "OK"), "5": (None, "METRIC_MISSING_INPUT"), "6": (None, "METRIC_NOT_FOUND"), "7": (None, "PERIOD_NOT_AVAILABLE"), "8": (None, "NO_SNAPSHOT"), "9": (None, "NO_TARGET"), "10": (None, "PERIOD_NOT_AVAILABLE")}
+
+
+def test_period_wordings(spark):
+    heads = {"2024年6月30日": ("2024-06-30", "interim"), "2023-13-45": ("2023-12-31", "annual"), "2023年2月": ("2023-02-30", "quarterly"), "2024年第三季度": ("2024-09-30", "quarterly"), "2024一季报": ("2024-03-31", "quarterly"), "2024Q4": ("2024-12-31", "quarterly"), "2024半年度": ("2024-06-30", "interim"), "2024年中报": ("2024-06-30", "interim"), "2024年度": ("2024-12-31", "annual"), "2024": ("2024-12-31", "annual"), "项目": (None, None), "": (None, None)}
+    assert [tuple(x) for x in values(spark, P.header_period, list(heads))] == list(heads.values())
+    texts = {"2024年1月1日至2024年6月30日收入": ("extracted", "2024-01-01..2024-06-30"), "2023年度与2023年": ("extracted", "2023年度"), "2022年和2023年上半年": ("ambiguous", None), "无": ("absent", None), "2023年13月": ("absent", None), "2023年第2季度": ("extracted", "2023年Q2"), "2023年5月": ("extracted", "2023-05"), None: ("absent", None)}
+    assert [(x.status, x.period) for x in values(spark, P.explicit_period, list(texts))] == list(texts.values())
+    assert values(spark, lambda x: P.period_expression(x, F.lit("end")), ["2025-12-31", "2025-09-30", "2025-05-31", "x", None]) == ["2025年末", "2025年三季度末", "2025年5月末", "x", None]
+    assert values(spark, lambda x: P.period_expression(x, F.lit("flow")), ["2025-09-30", "2025-05-31"]) == ["2025年前三季度", "2025年1-5月"]
+    assert values(spark, lambda x: P.scope_is_late(x, F.lit("2023")), ["2024Q1", "2023", "x", None]) == [True, False, False, False]
+    assert P.report_clock(dt.datetime(2024, 1, 1, 20, tzinfo=dt.UTC), "Asia/Shanghai") == {"utc": "2024-01-01T20:00:00Z", "local_date": "2024-01-02", "zone": "Asia/Shanghai"}
+    with pytest.raises(ValueError):
+        P.report_clock(dt.datetime(2024, 1, 1), "Asia/Shanghai")
+    available = F.array(*map(F.lit, ("2021-12-31", "2022-12-31", "2023-12-31", "2023-06-30")))
+    assert values(spark, lambda x: P.comparison_periods(x, available), ["近三年", "2021年至2023年", "2023年变化", "2023年", "2019年与2020年", None]) == [["2021-12-31", "2022-12-31", "2023-12-31"], ["2021-12-31", "2023-12-31"], ["2022-12-31", "2023-12-31"], [], [], []]
+
+
+def test_targets_and_spans(spark):
+    aliases = {"净利润": "NP", "归母净利润": "PNP", "利润": "P"}
+    got = values(spark, lambda x: K.alias_spans(x, aliases), ["归母净利润与利润", "净利润净利润", "", None])
+    assert [sorted((s.start, s.end, s.code) for s in g) for g in got] == [[(1, 6, "PNP"), (7, 9, "P")], [(1, 4, "NP"), (4, 7, "NP")], [], []]
+    target = lambda x: K.question_target(x, {"流动比率": "CR", "速动比率": "QR"}, {"货币资金": "CASH", "负债": "TL"}, {"CASH": ("受限",)})
+    out = [tuple(t) for t in values(spark, target, ["流动比率是多少", "流动比率、速动比率和负债", "货 币资金", "受限货币资金", "货币资金与负债", "其他", None])]
+    assert out == [("metric", "CR", None), (None, None, "ambiguous_metric"), ("field", "CASH", None), (None, None, "sub_item"), (None, None, "ambiguous_field"), (None, None, "no_target"), (None, None, "no_target")]
+    assert values(spark, K.source_grade, ["https://www.csrc.gov.cn/a", "cninfo.com.cn", "http://a@b.sina.com.cn:80/x", "https://notgov.cn", "", None]) == ["A", "B", "C", "D", "D", "D"]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\nnot json\n\n{"a": 2}\n')
     good, bad = readers.json_lines(spark, str(tmp_path / "x.jsonl"), "a int")
