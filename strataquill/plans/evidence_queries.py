@@ -11,6 +11,8 @@ from strataquill.operators import intervals as I
 from strataquill.operators import structure as S
 from strataquill.operators import verify as V
 from strataquill.operators import versions as X
+from strataquill.plans import retrieval_queries
+from strataquill.plans.retrieval_queries import bm25_search
 from strataquill.session import table
 from strataquill.streaming import validity
 
@@ -58,15 +60,17 @@ def content_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What committing the distinct versions again would do, against those that are stored and not superseded."""
-    v = _versions(spark, sf_dir).select("document_id", "document_version", "file_sha256", "status").distinct()
-    stored = v.where("status != 'current' or length(document_id) % 2 = 0 and substring(document_version, -1, 1) < '8'")
-    return X.plan_commits(v.select("document_id", "document_version", "file_sha256"), stored, ["document_id", "document_version"], "file_sha256", "status").groupBy("commit_path").agg(F.count("*").alias("n"))
+    """What committing all delivered versions does where those of annual reports are stored already, as they came first."""
+    rows = _versions(spark, sf_dir).select("document_id", "document_version", "file_sha256", "status", "source_type", "created_at").distinct()
+    first = rows.where("source_type = 'annual_report'").groupBy("document_id", "document_version").agg(F.min(F.struct("created_at", "file_sha256", "status")).alias("x")).select("document_id", "document_version", "x.file_sha256", "x.status")
+    incoming = rows.select("document_id", "document_version", "file_sha256").distinct()
+    return X.plan_commits(incoming, first, ["document_id", "document_version"], "file_sha256", "status").groupBy("commit_path").agg(F.count("*").alias("n"))
 
 
 def new_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _versions(spark, sf_dir).select("file_sha256", "document_id", "document_version")
-    return X.new_only(v, v.where("substring(file_sha256, 1, 1) < '8'"), "file_sha256")
+    """Contents that no superseded version has had before."""
+    v = _versions(spark, sf_dir)
+    return X.new_only(v.select("file_sha256", "document_id", "document_version"), v.where("status = 'superseded'"), "file_sha256")
 
 
 def delete_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +79,9 @@ def delete_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delivered blocks against each block once: what was delivered twice."""
-    raw = table(spark, sf_dir, "evidence_blocks").select("evidence_id")
-    return X.set_difference(raw.distinct(), raw, ["evidence_id"])
+    """Deliveries of versions against the versions that have blocks: missing, extra and repeated ones."""
+    keys = ["document_id", "document_version"]
+    return X.set_difference(_blocks(spark, sf_dir).select(*keys).distinct(), _versions(spark, sf_dir).select(*keys), keys)
 
 
 def ordered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +98,10 @@ def version_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strict_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = X.latest(table(spark, sf_dir, "report_meta").select("id", "imported_at", "amount", "amount_unit"), ["id"], "imported_at").where("id < '8'")
-    incoming = table(spark, sf_dir, "report_meta").select("id", "amount", F.when(F.col("id") < "4", F.col("amount_unit")).otherwise(F.lit("元")).alias("amount_unit")).distinct()
+    """All deliveries of report figures put into a store that holds the first delivery of each annual and interim one."""
+    rows = table(spark, sf_dir, "report_meta").select("id", "imported_at", "amount", "amount_unit", "report_type")
+    stored = rows.where("report_type in ('annual', 'interim')").groupBy("id").agg(F.min(F.struct("imported_at", "amount", "amount_unit")).alias("x")).select("id", "x.amount", "x.amount_unit")
+    incoming = rows.select("id", "amount", "amount_unit").distinct()
     return X.strict_insert(incoming, stored, ["id"], ["amount", "amount_unit"]).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
@@ -122,30 +128,22 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Evaluation ---------------------------------------------------------------------------------------------------------
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Made-up ranks and targets, the first paragraphs of each document, to try the scores on; `search_scores` scores a search."""
-    ranked = _ranked(spark, sf_dir)
-    gold = ranked.where("rank <= 2 and pmod(length(evidence_id) + rank, 2) = 1").select("case_id", "evidence_id")
-    shifted = ranked.withColumn("rank", F.col("rank") + F.when(F.ascii("evidence_id") % 2 == 0, 0).otherwise(1))
-    return shifted, gold
-
-
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    rows = _blocks(spark, sf_dir).where("document_id is not null and evidence_type = 'paragraph'")
-    order = W.partitionBy("document_id").orderBy("page_number", "block_index", "evidence_id")
-    return rows.select(F.col("document_id").alias("case_id"), "evidence_id", "source_type", F.row_number().over(order).alias("rank")).where("rank <= 12")
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the gold passage of a case word for word; the cases are a fixed table of 160 rows."""
+    cases = table(spark, sf_dir, "retrieval_eval_case").where("length(gold_passage) > 0").select("case_id", "gold_passage")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(F.broadcast(cases), F.col("text").contains(F.col("gold_passage"))).select("case_id", "doc_id")
 
 
 def retrieval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, gold = _scores(spark, sf_dir)
-    return E.case_scores(ranked, gold, "case_id", ["evidence_id"])
+    """Scores of the search by question against the documents with the gold passage."""
+    return E.case_scores(bm25_search(spark, sf_dir), _gold(spark, sf_dir), "case_id", ["doc_id"])
 
 
 def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = _ranked(spark, sf_dir).groupBy("case_id").agg(F.min("source_type").alias("kind"))
-    return E.macro_means(retrieval_scores(spark, sf_dir).join(kinds, "case_id"), ["kind"], ["hit", "coverage", "rr10"])
+    """Means of these scores over cases, in total, by section and by priority."""
+    kinds = table(spark, sf_dir, "retrieval_eval_case").select("case_id", "section_id", F.coalesce("priority", F.lit("none")).alias("priority"))
+    return E.macro_means(retrieval_scores(spark, sf_dir).join(kinds, "case_id"), ["section_id", "priority"], ["hit", "coverage", "rr10"])
 
 
 def failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,10 +272,8 @@ QUERIES = {
 _B = "b AS (SELECT DISTINCT ON (evidence_id) * FROM evidence_blocks)"
 _RANK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in RANKS.items())
 _CUR = "cur AS (SELECT company_id, document_id, arg_max(document_version, struct_pack(a := created_at, b := document_version)) AS document_version, max(created_at) AS switched_at, count(*) AS switches FROM document_versions WHERE status = 'current' GROUP BY 1, 2)"
-_RANKED = f"{_B}, r0 AS (SELECT document_id AS case_id, evidence_id, source_type, row_number() OVER (PARTITION BY document_id ORDER BY page_number, block_index, evidence_id) AS rank FROM b WHERE document_id IS NOT NULL AND evidence_type = 'paragraph' QUALIFY rank <= 12)"
-_SCORES = f"""{_RANKED}, gold AS (SELECT case_id, evidence_id FROM r0 WHERE rank <= 2 AND (length(evidence_id) + rank) % 2 = 1), rk AS (SELECT case_id, evidence_id, rank + CASE WHEN ascii(evidence_id) % 2 = 0 THEN 0 ELSE 1 END AS rank FROM r0),
-ks(k) AS (VALUES (1), (5), (10)), f AS (SELECT g.case_id, rk.rank FROM gold g LEFT JOIN rk USING (case_id, evidence_id)), w AS (SELECT case_id, count(*) AS wanted FROM gold GROUP BY 1),
-sc AS (SELECT w.case_id, k, wanted, (SELECT count(*) FROM f WHERE f.case_id = w.case_id AND f.rank <= k) AS h, (SELECT count(*) FROM rk WHERE rk.case_id = w.case_id AND rk.rank <= k) AS n, (SELECT min(rank) FROM f WHERE f.case_id = w.case_id) AS first FROM w, ks),
+_SCORES = f"""{retrieval_queries._BM25}, gold AS (SELECT case_id, doc_id FROM documents JOIN retrieval_eval_case ON length(gold_passage) > 0 AND contains(text, gold_passage)), f AS (SELECT g.case_id, r.rank FROM gold g LEFT JOIN r_a r USING (case_id, doc_id)), ks(k) AS (VALUES (1), (5), (10)), w AS (SELECT case_id, count(*) AS wanted, min(rank) AS first FROM f GROUP BY 1),
+sc AS (SELECT w.case_id, k, wanted, first, (SELECT count(*) FROM f WHERE f.case_id = w.case_id AND f.rank <= k) AS h, (SELECT count(*) FROM r_a r WHERE r.case_id = w.case_id AND r.rank <= k) AS n FROM w, ks),
 scores AS (SELECT case_id, k, (h > 0)::INT AS hit, (h = wanted)::INT AS all_hit, round(h / wanted, 6) AS coverage, round(CASE WHEN n = 0 THEN 0 ELSE h / n END, 6) AS "precision", round(CASE WHEN first <= 10 THEN 1.0::DOUBLE / first ELSE 0 END, 6) AS rr10 FROM sc)"""
 _SPAN = "sp AS (SELECT l_partkey % 200 AS g, l_orderkey AS lo, l_orderkey + l_quantity::BIGINT AS hi FROM lineitem), bd AS (SELECT DISTINCT g, (SELECT max(o_orderkey) + 60 FROM orders) AS size FROM sp)"
 _MERGE = "{1} AS (SELECT g, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(hi) OVER (PARTITION BY g ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {0} WHERE lo < hi)) GROUP BY g, island)"
@@ -301,20 +297,20 @@ SQL = {
     "current_pointer": f"WITH {_CUR} SELECT company_id, document_id, document_version, switched_at, switches FROM cur",
     "current_inventory": f"WITH {_B}, {_CUR} SELECT company_id, document_id, document_version, count(*) AS blocks, max(page_number) AS last_page FROM b JOIN cur USING (company_id, document_id, document_version) GROUP BY 1, 2, 3",
     "content_versions": "SELECT source_name, file_sha256, first_seen, last_seen, fetches, row_number() OVER (PARTITION BY source_name ORDER BY first_seen, file_sha256) AS content_version FROM (SELECT source_name, file_sha256, min(created_at) AS first_seen, max(created_at) AS last_seen, count(*) AS fetches FROM document_versions WHERE source_name IS NOT NULL GROUP BY 1, 2)",
-    "commit_plan": "WITH v AS (SELECT DISTINCT document_id, document_version, file_sha256, status FROM document_versions), s AS (SELECT document_id, document_version, max(struct_pack(d := file_sha256, s := status)) AS x FROM v WHERE status <> 'current' OR (length(document_id) % 2 = 0 AND right(document_version, 1) < '8') GROUP BY 1, 2) SELECT CASE WHEN x IS NULL THEN 'fresh' WHEN x.d <> file_sha256 THEN 'conflict' WHEN x.s = 'current' THEN 'reuse' ELSE 'reactivate' END AS commit_path, count(*) AS n FROM v LEFT JOIN s USING (document_id, document_version) GROUP BY 1",
-    "new_content": "SELECT file_sha256, min(struct_pack(a := document_id, b := document_version)).a AS document_id, min(struct_pack(a := document_id, b := document_version)).b AS document_version FROM document_versions WHERE file_sha256 IS NULL OR file_sha256 NOT IN (SELECT file_sha256 FROM document_versions WHERE file_sha256 IS NOT NULL AND substr(file_sha256, 1, 1) < '8') GROUP BY 1",
+    "commit_plan": "WITH s AS (SELECT document_id, document_version, min(struct_pack(c := created_at, d := file_sha256, s := status)) AS x FROM document_versions WHERE source_type = 'annual_report' GROUP BY 1, 2), v AS (SELECT DISTINCT document_id, document_version, file_sha256 FROM document_versions) SELECT CASE WHEN x IS NULL THEN 'fresh' WHEN x.d <> file_sha256 THEN 'conflict' WHEN x.s = 'current' THEN 'reuse' ELSE 'reactivate' END AS commit_path, count(*) AS n FROM v LEFT JOIN s USING (document_id, document_version) GROUP BY 1",
+    "new_content": "SELECT file_sha256, min(struct_pack(a := document_id, b := document_version)).a AS document_id, min(struct_pack(a := document_id, b := document_version)).b AS document_version FROM document_versions WHERE file_sha256 IS NULL OR file_sha256 NOT IN (SELECT file_sha256 FROM document_versions WHERE file_sha256 IS NOT NULL AND status = 'superseded') GROUP BY 1",
     "delete_guard": f"WITH {_B} SELECT document_id, coalesce(n, 0) AS reference_count, coalesce(n, 0) = 0 AS deletable FROM (SELECT DISTINCT document_id FROM document_versions) LEFT JOIN (SELECT document_id, count(*) AS n FROM b WHERE evidence_type = 'table' GROUP BY 1) USING (document_id)",
-    "set_difference": "SELECT evidence_id, 1 AS expected_count, count(*) AS actual_count, 'duplicate' AS state FROM evidence_blocks GROUP BY 1 HAVING count(*) > 1",
+    "set_difference": "WITH e AS (SELECT DISTINCT document_id, document_version FROM evidence_blocks), a AS (SELECT document_id, document_version, count(*) AS n FROM document_versions GROUP BY 1, 2) SELECT coalesce(e.document_id, a.document_id) AS document_id, coalesce(e.document_version, a.document_version) AS document_version, (e.document_id IS NOT NULL)::INT AS expected_count, coalesce(n, 0) AS actual_count, CASE WHEN n IS NULL THEN 'missing' WHEN e.document_id IS NULL THEN 'extra' ELSE 'duplicate' END AS state FROM e FULL JOIN a ON e.document_id = a.document_id AND e.document_version = a.document_version WHERE n IS NULL OR e.document_id IS NULL OR n > 1",
     "ordered_sources": """WITH v AS (SELECT company_id, source_type, document_version, max(struct_pack(a := created_at, b := status)) AS x FROM document_versions GROUP BY 1, 2, 3), w AS (SELECT company_id, source_type, document_version, x.a AS made, x.b AS status FROM v),
 n AS (SELECT *, row_number() OVER (PARTITION BY company_id, source_type ORDER BY CASE WHEN status = 'current' THEN 0 ELSE 1 END, made DESC, document_version) AS k FROM w), a AS (SELECT company_id, source_type, made AS aat, document_version AS adv FROM n WHERE k = 1 AND status = 'current')
 SELECT n.company_id, n.source_type, document_version, CASE WHEN adv IS NULL THEN 'topic' WHEN document_version = adv THEN 'current' WHEN made <= aat THEN 'history' ELSE 'topic' END AS role FROM n LEFT JOIN a ON n.company_id = a.company_id AND n.source_type = a.source_type""",
     "version_left_join": f"WITH {_B} SELECT v.company_id, v.document_id, v.document_version, count(b.evidence_id) AS blocks FROM (SELECT DISTINCT company_id, document_id, document_version FROM document_versions) v LEFT JOIN b ON v.company_id = b.company_id AND v.document_id = b.document_id AND v.document_version = b.document_version GROUP BY 1, 2, 3",
-    "strict_insert": "WITH s AS (SELECT id, arg_max(struct_pack(a := amount, u := amount_unit), struct_pack(i := imported_at, a := amount, u := amount_unit)) AS x FROM report_meta WHERE id < '8' GROUP BY 1), i AS (SELECT DISTINCT id, amount, CASE WHEN id < '4' THEN amount_unit ELSE '元' END AS amount_unit FROM report_meta) SELECT CASE WHEN s.id IS NULL THEN 'insert' WHEN amount IS NOT DISTINCT FROM x.a AND amount_unit IS NOT DISTINCT FROM x.u THEN 'same' ELSE 'conflict' END AS outcome, count(*) AS n FROM i LEFT JOIN s USING (id) GROUP BY 1",
+    "strict_insert": "WITH s AS (SELECT id, min(struct_pack(i := imported_at, a := amount, u := amount_unit)) AS x FROM report_meta WHERE report_type IN ('annual', 'interim') GROUP BY 1), i AS (SELECT DISTINCT id, amount, amount_unit FROM report_meta) SELECT CASE WHEN s.id IS NULL THEN 'insert' WHEN amount IS NOT DISTINCT FROM x.a AND amount_unit IS NOT DISTINCT FROM x.u THEN 'same' ELSE 'conflict' END AS outcome, count(*) AS n FROM i LEFT JOIN s USING (id) GROUP BY 1",
     "event_json_audit": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_type = 'error' AND try_cast(json_extract_string(props, '$.k') AS INT) > 50",
     "windowed_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value::DECIMAL(18,4)) AS total FROM events GROUP BY 1, 2",
     "streamed_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value::DECIMAL(18,4)) AS total FROM events GROUP BY 1, 2",
-    "retrieval_scores": f'WITH {_SCORES} SELECT case_id, k, hit, all_hit, coverage, "precision", rr10 FROM scores',
-    "macro_metrics": f"WITH {_SCORES}, kd AS (SELECT case_id, min(source_type) AS kind FROM r0 GROUP BY 1) SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, k, count(*) AS cases, round(avg(hit), 6) AS hit, round(avg(coverage), 6) AS coverage, round(avg(rr10), 6) AS rr10 FROM scores JOIN kd USING (case_id) GROUP BY GROUPING SETS ((k), (kind, k))",
+    "retrieval_scores": f'{_SCORES} SELECT case_id, k, hit, all_hit, coverage, "precision", rr10 FROM scores',
+    "macro_metrics": f"{_SCORES}, kd AS (SELECT case_id, section_id, coalesce(priority, 'none') AS priority FROM retrieval_eval_case) SELECT CASE WHEN grouping(section_id) = 1 THEN 'all' ELSE section_id END AS section_id, CASE WHEN grouping(priority) = 1 THEN 'all' ELSE priority END AS priority, k, count(*) AS cases, round(avg(hit), 6) AS hit, round(avg(coverage), 6) AS coverage, round(avg(rr10), 6) AS rr10 FROM scores JOIN kd USING (case_id) GROUP BY GROUPING SETS ((k), (section_id, k), (priority, k))",
     "failure_class": "SELECT failure, count(*) AS n FROM (SELECT DISTINCT run_id, question_id, CASE WHEN stop_reason = 'budget' THEN 'budget' WHEN status = 'BLOCKED' THEN 'blocked' WHEN status = 'FAILED' THEN 'failed' WHEN success = 0 THEN 'no_answer' END AS failure FROM question_outcome) GROUP BY 1",
     "stratified_split": """WITH s AS (SELECT section_id, count(*) AS size FROM retrieval_eval_case GROUP BY 1), q AS (SELECT *, size * 40 / (SELECT count(*) FROM retrieval_eval_case) AS quota FROM s), b AS (SELECT *, floor(quota) AS base, 40 - sum(floor(quota)) OVER () AS spare FROM q),
 t AS (SELECT section_id, base + CASE WHEN row_number() OVER (ORDER BY quota - base DESC, md5(section_id)) <= spare THEN 1 ELSE 0 END AS seats FROM b)

@@ -82,13 +82,17 @@ def bounded_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of level 1 looked up in every document that has blocks."""
+    """All titles, and the numbers they begin with, looked up in every document that has blocks."""
     blocks = table(spark, sf_dir, "evidence_blocks")
-    titles = table(spark, sf_dir, "section_titles").where("level = 1")
-    refs = blocks.select("document_id").distinct().crossJoin(F.broadcast(titles.select("title"))).select(F.concat_ws("|", "document_id", "title").alias("ref_id"), "document_id", F.lit(None).cast("string").alias("number"), "title")
+    number = F.nullif(F.regexp_extract("title", NUMBERED, 1), F.lit(""))
+    titles = table(spark, sf_dir, "section_titles").where("title is not null").select("title", number.alias("number"))
+    refs = blocks.select("document_id").distinct().crossJoin(F.broadcast(titles)).select(F.concat_ws("|", "document_id", "title").alias("ref_id"), "document_id", "number", "title")
     return R.section_lookup(blocks, refs)
 
 
+NUMBERED = "^(第[一二三四五六七八九十百0-9]+[章节]|[一二三四五六七八九十]+、|[(（][一二三四五六七八九十]+[)）]|[0-9]+(?:[.][0-9]+)*)"
+
+
 def keyword_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return _docs(spark, sf_dir).select("doc_id", *(C.contains_any(text, words).alias(name) for name, words in TERMS.items()))
@@ -103,13 +107,17 @@ def route_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that each section title leads to, by the words of the title without its number."""
     nodes = _blocks(spark, sf_dir).where("evidence_type = 'heading'").select(F.col("evidence_id").alias("node_id"), F.col("text").alias("title"), F.array_join("section_path", "/").alias("path"))
-    wanted = table(spark, sf_dir, "section_titles").where("level = 1").select(F.col("title_id").alias("question_id"), F.expr("substring(title, 5)").alias("term"))
+    wanted = table(spark, sf_dir, "section_titles").select(F.col("title_id").alias("question_id"), F.trim(F.regexp_replace("title", NUMBERED, "")).alias("term"))
     return R.navigate(nodes, wanted, {"title": 3.0, "path": 1.0})
 
 
 def read_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _blocks(spark, sf_dir).select("document_id", F.col("evidence_id").alias("node_id"), F.length("text").alias("body_chars"), (F.size(C.tokens(F.col("text"))) % 7).alias("hits"), (F.col("page_number") * 1000 + F.col("block_index")).alias("place"))
+    """Order in which the blocks of a document are read; relevance is the number of topic words they hold."""
+    words = [w for terms in TERMS.values() for w in terms]
+    hits = sum((F.coalesce(F.col("text").contains(w), F.lit(False)).cast("int") for w in words), F.lit(0))
+    nodes = _blocks(spark, sf_dir).select("document_id", F.col("evidence_id").alias("node_id"), F.length("text").alias("body_chars"), hits.alias("hits"), (F.col("page_number") * 1000 + F.col("block_index")).alias("place"))
     return R.read_order(nodes, "document_id").select("document_id", "node_id", "tier", "read_rank")
 
 
@@ -174,15 +182,15 @@ SQL = {
     "multi_query_merge": f"{_BM25}, f AS (SELECT DISTINCT ON (doc_id) doc_id, case_id AS query_order, rank FROM r_a ORDER BY doc_id, case_id, rank) SELECT doc_id, query_order, rank FROM f ORDER BY query_order, rank, doc_id LIMIT 30",
     "bounded_neighbours": f"""WITH {_BLOCKS}, p AS (SELECT *, row_number() OVER (PARTITION BY document_id, document_version ORDER BY page_number, block_index, evidence_id) AS place FROM b WHERE evidence_type IN ('paragraph', 'table'))
 SELECT a.evidence_id AS anchor_id, p.evidence_id, p.place - a.place AS "offset" FROM p JOIN p a ON a.document_id = p.document_id AND a.document_version = p.document_version AND a.evidence_type = 'table' AND a.evidence_id <> p.evidence_id AND p.place - a.place BETWEEN -2 AND 2""",
-    "section_references": f"""WITH {_BLOCKS}, refs AS (SELECT document_id || '|' || title AS ref_id, document_id, title FROM (SELECT DISTINCT document_id FROM evidence_blocks), section_titles WHERE level = 1),
-h AS (SELECT ref_id, CASE WHEN len(list_filter(section_path, lambda p: contains(p, title))) > 0 THEN evidence_id END AS hit FROM refs LEFT JOIN b USING (document_id))
+    "section_references": f"""WITH {_BLOCKS}, refs AS (SELECT document_id || '|' || title AS ref_id, document_id, title, nullif(regexp_extract(title, '{NUMBERED}', 1), '') AS number FROM (SELECT DISTINCT document_id FROM evidence_blocks), section_titles WHERE title IS NOT NULL),
+h AS (SELECT ref_id, CASE WHEN starts_with(text, number) OR len(list_filter(section_path, lambda p: contains(p, title) OR coalesce(starts_with(p, number), false))) > 0 THEN evidence_id END AS hit FROM refs LEFT JOIN b USING (document_id))
 SELECT ref_id, count(hit) AS hits, min(hit) AS evidence_id, CASE WHEN count(hit) = 0 THEN 'dangling' WHEN count(hit) = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome FROM h GROUP BY ref_id""",
     "keyword_signals": "SELECT doc_id, coalesce(contains(text, '债') OR contains(text, '贷款') OR contains(text, '借款'), false) AS debt, coalesce(contains(text, '现金'), false) AS cash, coalesce(contains(text, '增长') OR contains(text, '增幅'), false) AS growth FROM documents",
     "route_classifier": "SELECT case_id, CASE WHEN priority IS NULL THEN 'audit' WHEN y = '' THEN 'unparseable_time' WHEN contains(question, '如何') THEN 'deep' WHEN length(question) < 12 THEN 'direct' ELSE 'standard' END AS route, nullif(y, '') AS year FROM (SELECT *, regexp_extract(question, '([12][0-9]{3})年', 1) AS y FROM retrieval_eval_case WHERE question IS NOT NULL)",
-    "outline_navigation": f"""WITH {_BLOCKS}, n AS (SELECT evidence_id AS node_id, text AS title, array_to_string(section_path, '/') AS path FROM b WHERE evidence_type = 'heading'),
-s AS (SELECT title_id AS question_id, node_id, round(CASE WHEN contains(n.title, substr(t.title, 5)) THEN 3.0 ELSE 0.0 END::DOUBLE + CASE WHEN contains(path, substr(t.title, 5)) THEN 1.0 ELSE 0.0 END::DOUBLE, 6) AS score FROM n JOIN section_titles t ON level = 1 AND (contains(n.title, substr(t.title, 5)) OR contains(path, substr(t.title, 5))))
+    "outline_navigation": f"""WITH {_BLOCKS}, n AS (SELECT evidence_id AS node_id, text AS title, array_to_string(section_path, '/') AS path FROM b WHERE evidence_type = 'heading'), t AS (SELECT title_id, trim(regexp_replace(title, '{NUMBERED}', '')) AS term FROM section_titles),
+s AS (SELECT title_id AS question_id, node_id, round(CASE WHEN contains(n.title, term) THEN 3.0 ELSE 0.0 END::DOUBLE + CASE WHEN contains(path, term) THEN 1.0 ELSE 0.0 END::DOUBLE, 6) AS score FROM n JOIN t ON term <> '' AND (contains(n.title, term) OR contains(path, term)))
 SELECT question_id, node_id, score FROM s QUALIFY score >= max(score) OVER (PARTITION BY question_id) - 0.5""",
-    "read_plan": f"""WITH {_BLOCKS}, n AS (SELECT document_id, evidence_id AS node_id, length(text) AS c, length({_tokens('text')}) % 7 AS hits, page_number * 1000 + block_index AS place FROM b),
+    "read_plan": f"""WITH {_BLOCKS}, n AS (SELECT document_id, evidence_id AS node_id, length(text) AS c, {' + '.join(f'''coalesce(contains(text, '{w}'), false)::INT''' for terms in TERMS.values() for w in terms)} AS hits, page_number * 1000 + block_index AS place FROM b),
 t AS (SELECT *, CASE WHEN c >= 400 THEN 0 WHEN c >= 80 THEN 1 ELSE 2 END AS tier FROM n)
 SELECT document_id, node_id, tier, row_number() OVER (PARTITION BY document_id ORDER BY tier, c DESC NULLS LAST, hits DESC, place, node_id) AS read_rank FROM t""",
     "index_freshness": "SELECT document_id, count(*) AS members, sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint FROM (SELECT DISTINCT document_id, concat_ws(':', evidence_id, content_hash) AS line FROM evidence_blocks WHERE document_id IS NOT NULL) GROUP BY 1",

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strataquill.session import new_path
+
 
 def event_stream(spark: SparkSession, path: str, glob: str, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files of events as a stream, under the schema of what is there now."""
@@ -43,7 +45,16 @@ def accepted_transitions(events: DataFrame, key: str, status: str, at: str, rank
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over what is there and return what it put out (tests and small tables)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Drive a stream over what is there and return what it put out, from a table in the shared folder.
+
+    Batches are written by number, so one that is run again after a failure replaces itself; in complete mode the result
+    is the last of them, else all.
+    """
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, name)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)

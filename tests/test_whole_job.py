@@ -1,6 +1,5 @@
 """Queries and operators do the whole job where the test tables cannot show it."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from strataquill.operators import retrieval as R
@@ -22,25 +21,3 @@ def test_nearest_takes_the_smaller_of_many_tied_keys(spark):
         asked = spark.createDataFrame([("q", [2.0, 0.0])], "q string, qv array<double>")
         got = R.nearest(df, "k", "v", asked, "q", "qv", 10).orderBy("rank").select(F.col("k")).collect()
         assert [r.k for r in got] == [name(i) for i in range(10)]
-
-
-def test_validation_scores_every_held_out_text(spark):
-    residue = pytest.importorskip("strataquill.llm.residue")
-    docs = spark.range(2300).select("id", F.lit("公司公告\n本期净利润增长了百分之五，公司经营稳定。").alias("text"), F.lit("C1").alias("host"))
-    got = {r.label: (r.segments, r.precision, r.recall) for r in residue.validate(docs, "id", "text", "host", held_out=1).collect()}
-    # All hosts are held out, so the model is blank: every segment scores 0, above the thresholds of find_residue.
-    assert got["furniture"] == (2300, 0.5, 1.0) and got["placeholder"] == (0, 0.0, 0.0) and got["text"] == (0, 0.0, 0.0)
-    late = residue.labelled(["公司经营稳定。" * 80 + "\nLorem ipsum dolor sit amet."])
-    assert all(labels[1] for _, labels in late)
-
-
-def test_search_scores_miss_and_find_gold(spark, tmp_path):
-    queries = pytest.importorskip("strataquill.llm.queries")
-    passage, other = ("".join(chr(0x4E00 + 97 * i % 5000 + at) for i in range(60)) for at in (0, 7000))
-    docs = [(1, "盈利情况如何" + passage), (2, "盈利情况如何"), (3, other), (4, "无关")]
-    cases = [("a", "盈利情况如何", passage, "s"), ("b", "盈利情况如何", other, "s"), ("c", "盈利情况如何", "没有这一段" * 12, "t")]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(cases, "case_id string, question string, gold_passage string, section_id string").write.parquet(str(tmp_path / "retrieval_eval_case.parquet"))
-    got = {(r.case_id, r.k): (r.hit, r.coverage, r.rr10) for r in queries.search_scores(spark, str(tmp_path)).collect()}
-    assert got == {("a", 1): (0, 0.0, 0.5), ("a", 5): (1, 1.0, 0.5), ("a", 10): (1, 1.0, 0.5), **{("b", k): (0, 0.0, 0.0) for k in (1, 5, 10)}}
-    assert {(r.section_id, r.k): r.hit for r in queries.search_metrics(spark, str(tmp_path)).collect()}["all", 10] == 0.5
