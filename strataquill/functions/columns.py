@@ -41,6 +41,20 @@ def item_text(text: Column) -> Column:
     return F.regexp_replace(bare, "[^0-9a-z_一-鿿]", "")
 
 
+def equivalent(a: Column, b: Column, ignore_blanks: bool = False) -> Column:
+    """Whether two texts are the same but for width and characters without any extent (and blanks, if asked); no edit is tolerated."""
+    bare = lambda c: F.regexp_replace(fold_width(c), "[\\u00ad\\u200b-\\u200f\\u2060\\ufeff" + ("\\s]" if ignore_blanks else "]"), "")
+    return bare(a) == bare(b)
+
+
+def heading_spans(text: Column) -> Column:
+    """array<struct(line, start, end, level)> of the lines inside a text that are headings; positions count characters from 0."""
+    lines = F.split(text, "\n")
+    at = F.transform(lines, lambda x, i: F.struct(i.alias("line"), (F.length(F.array_join(F.slice(lines, F.lit(1), i), "\n")) + F.when(i > 0, 1).otherwise(0)).alias("start"), x.alias("shown")))
+    spans = F.transform(at, lambda x: F.struct(x["line"].alias("line"), x["start"].alias("start"), (x["start"] + F.length(x["shown"])).alias("end"), heading_level(x["shown"]).alias("level")))
+    return F.filter(spans, lambda x: x["level"].isNotNull())
+
+
 def char_share(text: Column, klass: str) -> Column:
     """Share of the characters of ``text`` that are in the regular-expression class; null for the empty text."""
     return F.try_divide(F.length(text) - F.length(F.regexp_replace(text, klass, "")), F.length(text))

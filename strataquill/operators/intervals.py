@@ -49,3 +49,15 @@ def partition_problems(intervals: DataFrame, bounds: DataFrame, keys: Sequence[s
     inner = rows.withColumn("problem", problem).where("problem is not null").select(*keys, F.coalesce("lo", F.lit(0)).alias("at"), "problem")
     ends = intervals.groupBy(*keys).agg(F.max("hi").alias("end")).join(bounds, list(keys)).where("end != size").select(*keys, F.col("end").alias("at"), F.lit("bad_end").alias("problem"))
     return inner.unionByName(ends)
+
+
+def conservation(intervals: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, size, total, covered, repeated, uncovered, conserved): whether the intervals of a key account for each position once.
+
+    ``total`` sums their lengths, ``covered`` counts positions in any of them, ``repeated`` what lies in several.
+    """
+    inside = intervals.join(bounds, list(keys)).select(*keys, F.greatest("lo", F.lit(0)).alias("lo"), F.least("hi", "size").alias("hi")).where("lo < hi")
+    total = inside.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("total"))
+    covered = merge(inside, keys).groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
+    both = bounds.join(total, list(keys), "left").join(covered, list(keys), "left").na.fill(0, ["total", "covered"])
+    return both.select(*keys, "size", "total", "covered", (F.col("total") - F.col("covered")).alias("repeated"), (F.col("size") - F.col("covered")).alias("uncovered"), ((F.col("covered") == F.col("size")) & (F.col("total") == F.col("size"))).alias("conserved"))

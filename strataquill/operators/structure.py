@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,3 +141,48 @@ def snippet(text: Column, shortest: int = 20, longest: int = 120) -> Column:
 def topic_end(blocks: DataFrame, doc: Sequence[str], anchor: str, place: str, outside: Column) -> DataFrame:
     """Per anchor the first place after it whose block lies outside the topic; null if none does."""
     return blocks.groupBy(*doc, anchor).agg(F.min(F.when((F.col("offset") > 0) & outside, F.col(place))).alias("topic_end"))
+
+
+# Words that refer to a table nearby, and those that refer to a named place, with the marks that end its name.
+TABLE_MARKERS = ("如下表所示", "见下表", "如下表", "下表", "上表", "见上表", "如上表")
+NAMED_MARKERS = ("详见", "参见", "请参阅", "参阅", "见本")
+NAME_ENDS = "。；;，,、！？\n"
+
+
+def reference_occurrences(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, occurrence, kind, marker, start, end, target) of all references in a text, in order and without overlap.
+
+    At one place the longest marker counts. A table marker does not begin inside a named one; a named reference whose target
+    is itself a table marker counts as the table's, and one without a target as none. Null texts give no rows.
+    """
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), *(T.StructField(n, T.IntegerType() if n in ("occurrence", "start", "end") else T.StringType()) for n in ("occurrence", "kind", "marker", "start", "end", "target"))])
+    longest = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+    named, tables = re.compile(f"({longest(NAMED_MARKERS)})([^{NAME_ENDS}]*)"), re.compile(longest(TABLE_MARKERS))
+
+    def of(text: str) -> list[tuple]:
+        found, inside = [], set()
+        for hit in named.finditer(text):
+            inside.update(range(hit.start() + 1, hit.end(1)))
+            target = hit.group(2).strip(" \t\r“”‘’\"'（）()：:")
+            if target and not tables.fullmatch(target):
+                found.append((hit.start(), hit.end(1), "named", hit.group(1), target))
+        at = 0
+        while hit := tables.search(text, at):
+            at = hit.start() + 1 if hit.start() in inside else hit.end()
+            if hit.start() not in inside:
+                found.append((hit.start(), hit.end(), "table", hit.group(), None))
+        out, upto = [], 0
+        for start, end, kind, marker, target in sorted(found, key=lambda x: (x[0], -x[1])):
+            if start >= upto:
+                out.append((len(out), kind, marker, start, end, target))
+                upto = end
+        return out
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(i, *x) for i, t in enumerate(batch.column(1).to_pylist()) for x in of(t)]
+            columns = list(zip(*hits, strict=True)) if hits else [()] * 7
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], names=schema.names)
+
+    return rows.where(F.col(text_col).isNotNull()).select(key, text_col).mapInArrow(read, schema)

@@ -17,7 +17,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.functions.columns import fold_width
@@ -199,7 +199,7 @@ def evidence_quantities(blocks: DataFrame) -> DataFrame:
 def report_quantities(report: DataFrame) -> DataFrame:
     """Every report figure in the base unit: the unit column, else the units named in the note, else the base unit itself.
 
-    A figure whose unit column or note names a unit that is not known gives no row; ``money_unit`` tells the reason.
+    A figure whose unit column or note names a unit that is not known gives no row; ``with_money_unit`` tells the reason.
     """
     rows = report.where("id is not null and amount is not null and item_name_cn is not null").select("id", "company_id", "report_period", "item_name_cn", "amount", "amount_unit", "unit_note")
 
@@ -218,25 +218,26 @@ def report_quantities(report: DataFrame) -> DataFrame:
     return rows.mapInPandas(read, _READ_SCHEMA)
 
 
-def money_unit(unit: Column, note: Column) -> Column:
-    """struct(unit, dimension, size, reason) a figure is given in: by its unit column, else by its note, else yuan.
+def with_money_unit(rows: DataFrame, unit: str, note: str) -> DataFrame:
+    """``rows`` with ``m``, a struct(unit, dimension, size, reason) of what their figures are given in: by the unit column, else the note, else yuan.
 
     ``size`` is a decimal, what one unit is in yuan, and null with a reason where the figure is no money of ours:
-    UNKNOWN_UNIT for a unit that is named but not known, FOREIGN_CURRENCY, or NON_MONEY_UNIT. Built-in expressions only.
+    UNKNOWN_UNIT for a unit that is named but not known, FOREIGN_CURRENCY, or NON_MONEY_UNIT. Built-in expressions and a
+    join with the table of spellings, a few hundred rows.
     """
-    squeeze = lambda c: F.replace(F.regexp_replace(F.lower(fold_width(c)), "\\s+", ""), F.lit("㎡"), F.lit("m2"))
-    names = list(UNITS)
-    table = F.create_map(*itertools.chain(*((F.lit(n), F.struct(F.lit(UNITS[n][0]).alias("dimension"), F.lit(Decimal(UNITS[n][1]) if UNITS[n][0] == "money" else None).cast("decimal(20,2)").alias("size"))) for n in names)))
-    spelled = "|".join(f"\\Q{n}\\E" for n in sorted(names, key=len, reverse=True))
-    column, said = F.nullif(squeeze(unit), F.lit("")), F.regexp_replace(squeeze(F.coalesce(note, F.lit(""))), "^in(?=[a-z])", "")
+    squeeze = lambda c: F.replace(F.regexp_replace(F.lower(fold_width(F.col(c))), "\\s+", ""), F.lit("㎡"), F.lit("m2"))
+    known = rows.sparkSession.createDataFrame([(n, d, Decimal(size) if d == "money" else None) for n, (d, size) in UNITS.items()], "__name string, __dimension string, __size decimal(20,2)")
+    spelled = "|".join(f"\\Q{n}\\E" for n in sorted(UNITS, key=len, reverse=True))
     foreign = "|".join(f"\\Q{c}\\E" for c in FOREIGN)
+    column, said = F.col("__column"), F.col("__said")
     held = F.nullif(F.regexp_extract(said, f"(?:(?<![a-z/一-鿿])|(?<=[以为位按]))({spelled})(?![a-z0-9/每])", 1), F.lit(""))
-    told = F.when(said.rlike(foreign), F.lit(None)).otherwise(held)
-    name = F.when(column.isNotNull(), column).when(told.isNotNull(), told).when(~said.rlike(foreign) & ~said.rlike(_NAMED_RE.pattern.replace("?P<", "?<")), F.lit("元"))
-    entry = F.try_element_at(table, name)
-    other = F.coalesce(column, said).rlike(foreign)
-    reason = F.when(entry.isNull(), F.when(other, "FOREIGN_CURRENCY").otherwise("UNKNOWN_UNIT")).when(entry["dimension"] != "money", "NON_MONEY_UNIT")
-    return F.struct(name.alias("unit"), entry["dimension"].alias("dimension"), F.when(reason.isNull(), entry["size"]).alias("size"), reason.alias("reason"))
+    other = said.rlike(foreign)
+    name = F.when(column.isNotNull(), column).when(~other & held.isNotNull(), held).when(~other & ~said.rlike(_NAMED_RE.pattern.replace("?P<", "?<")), F.lit("元"))
+    named = rows.withColumn("__column", F.nullif(squeeze(unit), F.lit(""))).withColumn("__said", F.regexp_replace(F.coalesce(squeeze(note), F.lit("")), "^in(?=[a-z])", "")).withColumn("__name", name)
+    joined = named.join(known, "__name", "left")
+    reason = F.when(F.col("__dimension").isNull(), F.when(F.coalesce(column, said).rlike(foreign), "FOREIGN_CURRENCY").otherwise("UNKNOWN_UNIT")).when(F.col("__dimension") != "money", "NON_MONEY_UNIT")
+    made = F.struct(F.col("__name").alias("unit"), F.col("__dimension").alias("dimension"), F.col("__size").alias("size"), reason.alias("reason"))
+    return joined.select(*(F.col(c) for c in rows.columns), made.alias("m"))
 
 
 def match_restated(report: DataFrame, evidence: DataFrame, tolerance: float = 1e-9) -> DataFrame:

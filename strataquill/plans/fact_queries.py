@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataquill.functions import columns as C
 from strataquill.operators import facts as A
 from strataquill.operators import metrics
-from strataquill.operators.units import money_unit
+from strataquill.operators.units import with_money_unit
 from strataquill.session import table
 
 KEYS = ["company_id", "period_end", "scope", "item_code"]
@@ -22,7 +22,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``unit`` and ``unit_size`` are null and ``refusal`` gives the reason where the figure is no money of ours: a unit that
     is not known or not money, or an item that others record in such a unit while this row names none.
     """
-    rows = A.first_per_key(table(spark, sf_dir, "report_meta"), ["id"], "imported_at", "source_file").withColumn("m", money_unit(F.col("amount_unit"), F.col("unit_note")))
+    rows = with_money_unit(A.first_per_key(table(spark, sf_dir, "report_meta"), ["id"], "imported_at", "source_file"), "amount_unit", "unit_note")
     physical = rows.where("m.reason = 'NON_MONEY_UNIT'").select("item_code", F.lit(True).alias("physical")).distinct()
     rows = rows.join(physical, "item_code", "left")
     reason = F.coalesce("m.reason", F.when(F.col("physical"), "NON_MONEY_ITEM"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataquill.functions import columns as C
 from strataquill.functions import periods as P
 from strataquill.functions.columns import item_text
 from strataquill.operators import facts as A
+from strataquill.operators import governance as G
 from strataquill.operators import intake as I
+from strataquill.operators import intervals as N
 from strataquill.operators import metrics
 from strataquill.operators import retrieval as R
+from strataquill.operators import structure as S
+from strataquill.plans import evidence_queries
 from strataquill.plans import fact_queries as Q
 from strataquill.session import table
 
@@ -220,9 +225,71 @@ def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.nearest(R.filtered(vectors, label=3), "vec_id", "embedding", asked, "query_id", "q", 10)
 
 
+def equivalent_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that are a section title but for width and invisible characters."""
+    heads = _blocks(spark, sf_dir).where("evidence_type = 'heading' and text is not null").select("evidence_id", "text").distinct()
+    titles = table(spark, sf_dir, "section_titles").select("title_id", "title")
+    return heads.join(F.broadcast(titles), C.equivalent(F.col("text"), F.col("title"), True)).select("evidence_id", "title_id")
+
+
+def inner_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines within paragraphs that are headings."""
+    rows = _blocks(spark, sf_dir).where("evidence_type = 'paragraph' and text is not null").select("evidence_id", "text").distinct()
+    return rows.select("evidence_id", F.explode(C.heading_spans(F.col("text"))).alias("h")).select("evidence_id", "h.*")
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to tables and other places in paragraphs."""
+    rows = _blocks(spark, sf_dir).where("evidence_type = 'paragraph'").select("evidence_id", "text").distinct()
+    return S.reference_occurrences(rows, "evidence_id", "text")
+
+
+def toc_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that the paths of a document announce against its headings: matched, toc_only or body_only."""
+    label = lambda c: item_text(F.col(c))
+    toc = _blocks(spark, sf_dir).where("document_id is not null").select("document_id", F.explode("section_path").alias("t")).select("document_id", label("t").alias("title")).where("title != ''").distinct()
+    body = _blocks(spark, sf_dir).where("evidence_type = 'heading' and document_id is not null").select("document_id", label("text").alias("title")).where("title != ''").distinct()
+    both = toc.withColumn("a", F.lit(1)).join(body.withColumn("b", F.lit(1)), ["document_id", "title"], "full")
+    return both.select("document_id", "title", F.when(F.col("a").isNull(), "body_only").when(F.col("b").isNull(), "toc_only").otherwise("matched").alias("state"))
+
+
+def span_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the line stretches of each group account for every order number once."""
+    return N.conservation(*evidence_queries._spans(spark, sf_dir), ["g"])
+
+
+def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on report headers, counted by verdict."""
+    c = F.col
+    rules = {
+        "period_given": (F.lit(True), c("report_period").isNotNull()), "annual_at_year_end": (c("report_type") == "annual", c("report_period").endswith("-12-31")),
+        "unit_in_one_place": (c("amount_unit").isNotNull(), c("unit_note").isNull()), "amount_not_zero": (c("amount").isNotNull(), c("amount") != 0),
+    }
+    return G.evaluate_rules(table(spark, sf_dir, "report_meta").dropDuplicates(["id"]), ["id"], rules).groupBy("rule", "verdict").agg(F.count("*").alias("n"))
+
+
+def source_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every company is cited from enough sources of some grade."""
+    rows = source_grades(spark, sf_dir).select(F.col("url").alias("source"), "grade", "evidence_id").join(_blocks(spark, sf_dir).select("evidence_id", "company_id").distinct(), "evidence_id")
+    return G.source_policy(rows.where("company_id is not null"), ["company_id"], "grade", {"A": 3, "B": 5, "C": 8, "D": 20})
+
+
+def snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of the snapshot of every company: its admitted figures under the rules of this version."""
+    rows = Q._intervals(spark, sf_dir)
+    admitted = A.admit(rows, A.reconcile(rows, Q.KEYS), Q.KEYS, rows.where("false").select("id"), "id", "consolidated", "CNY").where("decision = 'ADMITTED'")
+    return G.snapshots(admitted, ["company_id"], "id", "rules-1")
+
+
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the share of their pages with hardly any text."""
+    pages = _blocks(spark, sf_dir).select("document_id", "document_version", "page_number", "block_index", "text").distinct().groupBy("document_id", "document_version", "page_number").agg(F.sum(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "\\s", ""))).alias("n"))
+    return G.page_quality(pages.withColumn("text", F.repeat(F.lit("x"), F.least("n", F.lit(100)).cast("int"))), ["document_id", "document_version"], "text")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (source_grades, source_types, registered_sources, quarantined_versions, released_blocks, inventory_difference, version_union, version_rollup, resume_outcomes, as_of_selection, question_targets, structured_lookup, period_comparison, anchor_dates, header_periods, relative_headers, period_words, explicit_periods, compared_periods, late_scopes, blocking, revenue_cost, locators, pending_mappings, context_expansion, dense_filtered)
+    for f in (equivalent_titles, inner_headings, references, toc_reconciliation, span_conservation, rule_verdicts, source_policy, snapshot_ids, page_quality, source_grades, source_types, registered_sources, quarantined_versions, released_blocks, inventory_difference, version_union, version_rollup, resume_outcomes, as_of_selection, question_targets, structured_lookup, period_comparison, anchor_dates, header_periods, relative_headers, period_words, explicit_periods, compared_periods, late_scopes, blocking, revenue_cost, locators, pending_mappings, context_expansion, dense_filtered)
 }
 
 _V = "company_id, document_id, document_version"
@@ -265,9 +332,23 @@ al AS (SELECT 'm' AS k, * FROM ma UNION ALL SELECT 'f', * FROM fa), sp AS (SELEC
 mx AS (SELECT * FROM sp s WHERE NOT EXISTS (SELECT 1 FROM sp o WHERE o.question_id = s.question_id AND o.k = s.k AND (o.a, o.b, o.code) <> (s.a, s.b, s.code) AND o.a <= s.a AND s.b <= o.b)), cd AS (SELECT question_id, count(DISTINCT code) FILTER (k = 'm') AS mn, max(code) FILTER (k = 'm') AS mc, count(DISTINCT code) FILTER (k = 'f') AS fn, max(code) FILTER (k = 'f') AS fc FROM mx GROUP BY 1),
 tg AS (SELECT question_id, company_id, CASE WHEN mn = 1 THEN 'metric' WHEN coalesce(mn, 0) = 0 AND fn = 1 AND NOT veto THEN 'field' END AS target_type, CASE WHEN mn = 1 THEN mc WHEN coalesce(mn, 0) = 0 AND fn = 1 AND NOT veto THEN fc END AS code, CASE WHEN mn > 1 THEN 'ambiguous_metric' WHEN mn = 1 THEN NULL WHEN coalesce(fn, 0) = 0 THEN 'no_target' WHEN fn > 1 THEN 'ambiguous_field' WHEN veto THEN 'sub_item' END AS reason,
  CASE WHEN len(list_distinct(ys)) = 1 THEN ys[1] || '-12-31' END AS period FROM (SELECT qs.*, cd.*, regexp_extract_all(question, '(?:19|20)[0-9]{{2}}') AS ys, coalesce((fc = 'CASH' AND regexp_matches(t, '受限')) OR (fc = 'INVENTORY' AND regexp_matches(t, '跌价|原材料')) OR (fc = 'AR' AND regexp_matches(t, '坏账|账龄')), false) AS veto FROM qs LEFT JOIN cd USING (question_id)))"""
+_BARE = lambda c: f"regexp_replace(translate({c}, '{_WIDE}', '{_SLIM}'), '[\u00ad\u200b-\u200f\u2060\ufeff\\s]', '', 'g')"
+_GRADED = """u AS (SELECT DISTINCT evidence_id, company_id, ['https://www.csrc.gov.cn:443/', 'http://user@static.cninfo.com.cn/', 'https://finance.sina.com.cn/', 'https://notgov.cn/', ''][page_number % 5 + 1] || coalesce(source_uri, '') AS url, ['A', 'B', 'C', 'D', 'D'][page_number % 5 + 1] AS grade FROM evidence_blocks)"""
 _LAST_TWO = f"WITH {Q._LINES}, {Q._formula_sql()}, ye AS (SELECT company_id, list_sort(list(DISTINCT period_end)) AS e FROM res WHERE month(period_end) = 12 GROUP BY 1), w AS (SELECT company_id, formula, e[len(e) - 1] AS period_a, e[len(e)] AS period_b FROM ye, (SELECT DISTINCT formula FROM res)), u AS (SELECT * FROM res WHERE status IN ('CALCULATED_EXACT', 'CALCULATED_PROXY'))"
 
+_ADMITTED = f"""{Q._INT}, {Q._STATE}, sev AS (SELECT company_id, period_end, scope, item_code, source FROM iv WHERE company_id IS NOT NULL AND period_end IS NOT NULL AND scope IS NOT NULL AND item_code IS NOT NULL AND source IS NOT NULL GROUP BY ALL HAVING count(DISTINCT value) > 1),
+adm AS (SELECT DISTINCT company_id, id, value FROM iv WHERE scope = 'consolidated' AND company_id IS NOT NULL AND period_end IS NOT NULL AND item_code IS NOT NULL AND source IS NOT NULL AND (company_id, period_end, scope, item_code, source) NOT IN (SELECT (company_id, period_end, scope, item_code, source) FROM sev) AND (company_id, period_end, scope, item_code) NOT IN (SELECT (company_id, period_end, scope, item_code) FROM st WHERE state = 'CONFLICT'))"""
+
 SQL = {
+    "equivalent_titles": f"SELECT DISTINCT evidence_id, title_id FROM evidence_blocks JOIN section_titles ON {_BARE('text')} = {_BARE('title')} WHERE evidence_type = 'heading'",
+    "inner_headings": """WITH p AS (SELECT DISTINCT evidence_id, text FROM evidence_blocks WHERE evidence_type = 'paragraph' AND text IS NOT NULL), l AS (SELECT evidence_id, string_split(text, chr(10)) AS ls, unnest(range(len(string_split(text, chr(10))))) AS line FROM p), x AS (SELECT evidence_id, line, ls[line + 1] AS s, length(array_to_string(ls[1:line], chr(10))) + (line > 0)::INT AS start FROM l),
+h AS (SELECT *, CASE WHEN length(trim(s)) > 60 OR trim(s) = '' OR regexp_matches(trim(s), '[。；;]$') THEN NULL WHEN regexp_matches(trim(s), '^第[一二三四五六七八九十百0-9]+[章节]') THEN 1 WHEN regexp_matches(trim(s), '^[一二三四五六七八九十]+、') THEN 2 WHEN regexp_matches(trim(s), '^[（(][一二三四五六七八九十]+[）)]') THEN 3 WHEN regexp_matches(trim(s), '^[0-9]+(\\.[0-9]+)*[.、 ]\\s*[^0-9]') THEN 4 END AS level FROM x) SELECT evidence_id, line, start, start + length(s) AS "end", level FROM h WHERE level IS NOT NULL""",
+    "toc_reconciliation": f"WITH t AS (SELECT DISTINCT document_id, {_LABEL('p')} AS title FROM (SELECT document_id, unnest(section_path) AS p FROM evidence_blocks WHERE document_id IS NOT NULL)), b AS (SELECT DISTINCT document_id, {_LABEL('text')} AS title FROM evidence_blocks WHERE evidence_type = 'heading' AND document_id IS NOT NULL) SELECT document_id, title, CASE WHEN count(DISTINCT k) = 2 THEN 'matched' WHEN max(k) = 'b' THEN 'body_only' ELSE 'toc_only' END AS state FROM (SELECT *, 'a' AS k FROM t UNION ALL SELECT *, 'b' FROM b) WHERE title <> '' GROUP BY 1, 2",
+    "span_conservation": f"WITH {evidence_queries._SPAN}, i AS (SELECT sp.g, greatest(lo, 0) AS lo, least(hi, size) AS hi, size FROM sp JOIN bd ON sp.g = bd.g WHERE greatest(lo, 0) < least(hi, size)), n AS (SELECT g, sum(hi - lo)::BIGINT AS total FROM i GROUP BY 1), c AS (SELECT g, count(*) AS covered FROM (SELECT DISTINCT g, unnest(range(lo, hi)) AS p FROM i) GROUP BY 1) SELECT bd.g, size, coalesce(total, 0) AS total, coalesce(covered, 0) AS covered, coalesce(total, 0) - coalesce(covered, 0) AS repeated, size - coalesce(covered, 0) AS uncovered, coalesce(covered, 0) = size AND coalesce(total, 0) = size AS conserved FROM bd LEFT JOIN n ON bd.g = n.g LEFT JOIN c ON bd.g = c.g",
+    "rule_verdicts": "WITH o AS (SELECT * FROM report_meta QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at) = 1), r AS (SELECT 'period_given' AS rule, CASE WHEN report_period IS NOT NULL THEN 'PASS' ELSE 'FAIL' END AS verdict FROM o UNION ALL SELECT 'annual_at_year_end', CASE WHEN report_type IS DISTINCT FROM 'annual' THEN 'NOT_APPLICABLE' WHEN report_period LIKE '%-12-31' THEN 'PASS' ELSE 'FAIL' END FROM o UNION ALL SELECT 'unit_in_one_place', CASE WHEN amount_unit IS NULL THEN 'NOT_APPLICABLE' WHEN unit_note IS NULL THEN 'PASS' ELSE 'FAIL' END FROM o UNION ALL SELECT 'amount_not_zero', CASE WHEN amount IS NULL THEN 'NOT_APPLICABLE' WHEN amount <> 0 THEN 'PASS' ELSE 'FAIL' END FROM o) SELECT rule, verdict, count(*) AS n FROM r GROUP BY 1, 2",
+    "source_policy": f"WITH {_GRADED}, g AS (SELECT company_id, count(DISTINCT url) FILTER (grade = 'A') AS A, count(DISTINCT url) FILTER (grade = 'B') AS B, count(DISTINCT url) FILTER (grade = 'C') AS C, count(DISTINCT url) FILTER (grade = 'D') AS D FROM u WHERE company_id IS NOT NULL GROUP BY 1) SELECT *, CASE WHEN A >= 3 THEN 'A' WHEN A + B >= 5 THEN 'B' WHEN A + B + C >= 8 THEN 'C' WHEN A + B + C + D >= 20 THEN 'D' ELSE 'insufficient' END AS verdict FROM g",
+    "snapshot_ids": f"WITH {_ADMITTED}, s AS (SELECT company_id, count(*) AS items, sum(('0x' || md5(id || ':' || value::VARCHAR)[1:15])::BIGINT::HUGEINT) AS d FROM adm GROUP BY 1) SELECT company_id, items, sha256('rules-1|' || company_id || '|' || items || '|' || d)[1:24] AS snapshot_id FROM s",
+    "page_quality": "WITH p AS (SELECT document_id, document_version, page_number, sum(length(regexp_replace(coalesce(text, ''), '\\s', '', 'g'))) AS n FROM (SELECT DISTINCT document_id, document_version, page_number, block_index, text FROM evidence_blocks) GROUP BY ALL), c AS (SELECT document_id, document_version, count(*) AS pages, count(*) FILTER (n < 100) AS low_pages FROM p GROUP BY ALL) SELECT *, round(low_pages / pages, 6) AS low_share, CASE WHEN low_pages / pages > 0.3 THEN 'refuse' WHEN low_pages / pages >= 0.1 THEN 'warn' ELSE 'ok' END AS verdict FROM c",
     "source_grades": """WITH u AS (SELECT DISTINCT evidence_id, ['https://www.csrc.gov.cn:443/', 'http://user@static.cninfo.com.cn/', 'https://finance.sina.com.cn/', 'https://notgov.cn/', ''][page_number % 5 + 1] || coalesce(source_uri, '') AS url FROM evidence_blocks), h AS (SELECT *, lower(regexp_replace(regexp_replace(split_part(regexp_replace(url, '^[^/?#]*://', ''), '/', 1), '^.*@', ''), ':[^:]*$', '')) AS host FROM u)
 SELECT *, CASE WHEN regexp_matches(host, '(^|\\.)(gov\\.cn|sse\\.com\\.cn|szse\\.cn|bse\\.cn)$') THEN 'A' WHEN regexp_matches(host, '(^|\\.)cninfo\\.com\\.cn$') THEN 'B' WHEN regexp_matches(host, '(^|\\.)sina\\.com\\.cn$') THEN 'C' ELSE 'D' END AS grade FROM h""",
     "source_types": "SELECT DISTINCT source_name, CASE WHEN regexp_matches(lower(coalesce(source_name, '')), 'kcz|债|募集|发行公告|bond|offering') THEN 'debt_circular' WHEN regexp_matches(lower(coalesce(source_name, '')), 'year|年报|年度报告|annual|20|19') THEN 'annual_report' ELSE 'other' END AS inferred_type FROM document_versions",

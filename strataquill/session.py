@@ -16,6 +16,7 @@ def build_session(name: str = "strataquill", cores: int | str = "*", shuffle_par
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf

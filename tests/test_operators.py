@@ -6,6 +6,7 @@ import sqlite3
 import zipfile
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from strataquill.functions import columns as C
 from strataquill.functions import periods as P
 from strataquill.operators import evaluation as E
 from strataquill.operators import facts as A
+from strataquill.operators import governance as G
 from strataquill.operators import intake as K
 from strataquill.operators import intervals as I
 from strataquill.operators import metrics as M
@@ -57,8 +59,6 @@ def test_rrf(spark):
 
 
 def test_nearest_against_brute_force(spark):
-    import numpy as np
-
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 8))
     v[7] = v[3]
@@ -216,6 +216,78 @@ def test_neighbours(spark):
     assert {(r.evidence_id, r.offset) for r in R.neighbours(blocks, anchors, ["doc"], 2, 1).collect()} == {("e2", -2), ("e3", -1), ("e5", 1)}
 
 
+def test_percentiles_of_small_and_large_groups(spark):
+    rng = np.random.default_rng(3)
+    sets = {"big": rng.normal(size=30_000).round(3), "ties": np.repeat([1.0, 2.0, 3.0], 7000), "one": np.array([5.0]), "few": np.arange(10.0), None: np.array([1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in sets.items() for x in v] + [("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r.k: r for r in E.percentiles(df, ["k"], "x", [0.5, 0.95]).collect()}
+    for k, v in sets.items():
+        v = np.sort(v)
+        for name, p in (("p50", 0.5), ("p95", 0.95)):
+            assert got[k].n == len(v) and got[k][f"{name}_linear"] == pytest.approx(np.quantile(v, p)) and got[k][f"{name}_nearest"] == v[max(0, int(np.ceil(round(p * len(v), 9))) - 1)]
+    assert got["none"].n == 0 and got["none"].p95_linear is None
+
+
+def test_rules_policies_and_tools(spark):
+    df = spark.createDataFrame([("a", 1), ("b", None), ("c", -1)], "k string, x int")
+    out = {(r.k, r.rule): r.verdict for r in G.evaluate_rules(df, ["k"], {"given": (F.lit(True), F.col("x").isNotNull()), "positive": (F.col("x").isNotNull(), F.col("x") > 0)}).collect()}
+    assert out == {("a", "given"): "PASS", ("b", "given"): "FAIL", ("c", "given"): "PASS", ("a", "positive"): "PASS", ("b", "positive"): "NOT_APPLICABLE", ("c", "positive"): "FAIL"}
+    cited = spark.createDataFrame([("s", "u1", "A"), ("s", "u1", "A"), ("s", "u2", "B"), ("t", "u3", "B"), ("v", "u4", "C")], "subject string, source string, grade string")
+    assert {r.subject: r.verdict for r in G.source_policy(cited, ["subject"], "grade", {"A": 2, "B": 2}).collect()} == {"s": "B", "t": "insufficient", "v": "insufficient"}
+    admitted = spark.createDataFrame([("c", "r1", 1), ("c", "r2", 2), ("d", "r1", 1)], "company string, record string, value int")
+    ids = lambda df, rules="1": {r.company: r.snapshot_id for r in G.snapshots(df, ["company"], "record", rules).collect()}
+    assert ids(admitted) == ids(admitted.union(admitted).repartition(3)) and ids(admitted)["c"] != ids(admitted.where("record = 'r1'"))["c"] and ids(admitted) != ids(admitted, "2")
+    pages = spark.createDataFrame([("d", "x" * 200)] * 8 + [("d", None), ("e", "x" * 200), ("e", " " * 300)], "doc string, text string")
+    assert {r.doc: (r.low_pages, r.verdict) for r in G.page_quality(pages, ["doc"], "text").collect()} == {"d": (1, "warn"), "e": (1, "refuse")}
+    box, calls = G.Toolbox(failures_allowed=2), []
+
+    def look(term, k=1):
+        calls.append(term)
+        if term == "bad":
+            raise ValueError("no luck")
+        return term * k
+
+    box.register(G.Tool("look", look, ("direct",), {"term": str, "k?": int}, retries=1))
+    with pytest.raises(ValueError):
+        box.register(box.tools["look"])
+    assert box.execute("look", "direct", term="x", k=2) == ("OK", "xx")
+    assert [box.execute(*a, **k)[0] for a, k in ((("other", "direct"), {}), (("look", "deep"), {"term": "x"}), (("look", "direct"), {}), (("look", "direct"), {"term": 1}), (("look", "direct"), {"term": "x", "k": True}), (("look", "direct"), {"term": "x", "z": 1}))] == ["UNKNOWN_TOOL", "ROUTE_NOT_ALLOWED", *["BAD_ARGUMENTS"] * 4]
+    assert box.execute("look", "direct", term="bad") == ("FAILED", "no luck") and calls[-2:] == ["bad", "bad"]
+    assert box.execute("look", "direct", term="bad")[0] == "FAILED" and box.execute("look", "direct", term="x")[0] == "CIRCUIT_OPEN"
+    providers = G.Providers()
+    with pytest.raises(LookupError):
+        providers("x")
+    providers.register("a", str.upper)
+    providers.register("b", str.lower)
+    assert providers("Xy") == "XY"
+    providers.use("b")
+    assert providers("Xy") == "xy"
+    with pytest.raises(KeyError):
+        providers.use("c")
+
+
+def test_gold_pages_and_eligibility(spark):
+    aliases = {"年报": "ar", "募集说明书": "pr"}
+    read = lambda spec: E.page_targets(spec, aliases)
+    assert read("年报P3-5/P7+募集说明书 P12（见/附注）") == ([("ar", 3), ("ar", 4), ("ar", 5), ("ar", 7), ("pr", 12)], False, [])
+    assert read("外部网页 / 年报P5-4/年报P4") == ([("ar", 4), ("ar", 5)], True, [])
+    assert read("P3/年报募集章节") == ([("ar", None)], False, ["P3", "年报募集章节"]) and read(None) == ([], False, [])
+    targets = [("ok", "local", "ar", 3), ("far", "local", "ar", 99), ("odd", "local", "zz", 1), ("none", "local", "ar", None), ("gone", "local", "pr", 1), ("web", "external", None, None), ("db", "structured_db", None, None), ("mix", "external", None, None), ("mix", "structured_db", None, None), ("x", None, None, None)]
+    docs = spark.createDataFrame([("ar", 10), ("pr", 5)], "document_id string, page_count int")
+    got = E.eligibility(spark.createDataFrame(targets, "case_id string, channel string, document_id string, page int"), docs, "case_id", docs.where("document_id = 'ar'"))
+    assert {r.case_id: r.eligibility for r in got.collect()} == {"ok": "ELIGIBLE_LOCAL", "far": "INVALID_GOLD_MAPPING", "odd": "INVALID_GOLD_MAPPING", "none": "INVALID_GOLD_MAPPING", "gone": "MISSING_CORPUS_DOCUMENT", "web": "EXTERNAL_ONLY", "db": "STRUCTURED_DB_ONLY", "mix": "NON_LOCAL_MIXED", "x": "INVALID_GOLD_MAPPING"}
+
+
+def test_reference_occurrences(spark):
+    texts = ["如下表所示，详见第三节“财务”。参见下表", "详见下表；上表与下表", "详见。", "", None]
+    got = [(r.id, r.occurrence, r.kind, r.marker, r.start, r.end, r.target) for r in S.reference_occurrences(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").orderBy("id", "occurrence").collect()]
+    assert got == [(0, 0, "table", "如下表所示", 0, 5, None), (0, 1, "named", "详见", 6, 8, "第三节“财务"), (0, 2, "table", "下表", 18, 20, None), (1, 0, "table", "下表", 2, 4, None), (1, 1, "table", "上表", 5, 7, None), (1, 2, "table", "下表", 8, 10, None)]
+    spans = values(spark, C.heading_spans, ["第一节 概况\n正文。\n（二）财务", "正文", "", None])
+    assert [None if s is None else [(x.line, x.start, x.end, x.level) for x in s] for s in spans] == [[(0, 0, 6, 1), (2, 11, 16, 3)], [], [], None]
+    assert values(spark, lambda x: C.equivalent(x, F.lit("A b"), True), ["Ａ b", "A\u200bb", "a b", None]) == [True, True, False, None]
+
+
 def test_expansion_budgets(spark):
     kinds = ["table", "paragraph", "paragraph", "paragraph", "heading", "paragraph", "table", "paragraph", "paragraph"]
     rows = [("d", f"e{i}", i // 4, i % 4, k, "x" * 100) for i, k in enumerate(kinds)] + [("e", "f0", 1, 0, "table", None), ("e", "f1", 1, 1, "paragraph", "y" * 300), ("e", "f2", 9, 0, "paragraph", "y")]

@@ -67,7 +67,7 @@ def test_unknown_units_are_refused(spark):
     assert {n: units.names_other_unit(n) for n in cases} == cases
     rows = [(" 万元 ", None, 1e4, None), (None, "单位：千万元", 1e7, None), ("", "RMB'000", 1e3, None), (None, "经审计", 1, None), (None, None, 1, None), ("ＲＭＢ bn", "x", 1e9, None), (None, "除特别注明外，以CNY thousand列示", 1e3, None), (None, "亿元口径", 1e8, None),
             ("万美元", None, None, "FOREIGN_CURRENCY"), (None, "单位：万港元", None, "FOREIGN_CURRENCY"), ("桶", "元", None, "UNKNOWN_UNIT"), (None, "单位：万桶", None, "UNKNOWN_UNIT"), ("kWh", None, None, "NON_MONEY_UNIT"), (None, "in kg", None, "NON_MONEY_UNIT"), (None, "2023年度报告", 1, None)]
-    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, u string, n string").select("i", units.money_unit(F.col("u"), F.col("n")).alias("m")).orderBy("i").collect()
+    df = units.with_money_unit(spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, u string, n string"), "u", "n").orderBy("i").collect()
     assert [(None if r.m["size"] is None else float(r.m["size"]), r.m.reason) for r in df] == [r[2:] for r in rows]
     report = [figure("a", 12345.0, "万美元"), figure("b", 12345.0, None, "单位：万桶"), figure("c", 123450000.0)]
     assert found(spark, [block("x", "存货 12345 万元"), block("y", "存货 12345 万美元")], report) == {("c", "x")}
