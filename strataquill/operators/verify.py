@@ -34,11 +34,26 @@ def presence(claims: DataFrame, claim: str, cited: DataFrame, evidence: str) ->
     return counted.withColumn("verdict", verdict)
 
 
-def closed_set(text: Column, claimed: Column, listed: Column) -> Column:
-    """Verdict on a claim of completeness: NOT_TRIGGERED, PARTIAL (hedged or no count), SUPPORTED, UNSUPPORTED."""
-    triggered = contains_any(text, ["全部", "合计", "共计", "所有", "总计", "all of", "in total"])
-    hedged = contains_any(text, ["等", "包括", "主要", "including", "mainly"])
-    return F.when(~triggered, "NOT_TRIGGERED").when(hedged | claimed.isNull(), "PARTIAL").when(claimed == listed, "SUPPORTED").otherwise("UNSUPPORTED")
+# Words that claim a set to be complete, and words that take the claim back.
+COMPLETE = ("全部", "合计", "共计", "所有", "总计", "前", "all of", "in total")
+HEDGES = ("等", "包括", "主要", "including", "mainly")
+COUNTED = "(?:前|共|共计|合计|全部|总计)([0-9]{1,3}|[一二三四五六七八九十])(?:家|名|项|个|大|位)"
+NUMERALS = {n: i + 1 for i, n in enumerate("一二三四五六七八九十")}
+
+
+def closed_set(sentence: Column) -> Column:
+    """Verdict on a sentence that claims to list all of a counted set, by the members it lists.
+
+    NOT_TRIGGERED without a word of completeness; PARTIAL if hedged, without a count, or with fewer members listed than
+    counted; SUPPORTED if as many are listed, UNSUPPORTED if more are. Members are the parts of up to 6 characters between
+    enumeration commas; a sentence without such a comma lists none.
+    """
+    said = F.regexp_extract(sentence, COUNTED, 1)
+    claimed = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in NUMERALS.items() for x in pair)), said), said.try_cast("int"))
+    parts = F.split(F.regexp_replace(sentence, "[，,：:；;（）()]", "、、"), "、")
+    listed = F.when(sentence.contains("、"), F.size(F.filter(F.transform(parts, F.trim), lambda x: (F.length(x) > 0) & (F.length(x) <= 6)))).otherwise(0)
+    triggered, hedged = contains_any(sentence, list(COMPLETE)), contains_any(sentence, list(HEDGES))
+    return F.when(~triggered, "NOT_TRIGGERED").when(hedged | claimed.isNull() | (listed < claimed), "PARTIAL").when(listed == claimed, "SUPPORTED").otherwise("UNSUPPORTED")
 
 
 def claimed_direction(text: Column) -> Column:

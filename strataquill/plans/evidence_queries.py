@@ -254,9 +254,9 @@ def claim_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closed_set_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    listed = F.size(F.split(text, "、"))
-    return table(spark, sf_dir, "documents").select("doc_id", V.closed_set(text, F.regexp_extract(text, "前([0-9一二三四五六七八九])名", 1).try_cast("int"), listed).alias("verdict"))
+    """Sentences of documents that claim completeness, by verdict."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[。！？\\n]")).alias("s"))
+    return rows.select("doc_id", V.closed_set(F.col("s")).alias("verdict")).where("verdict != 'NOT_TRIGGERED'").groupBy("doc_id", "verdict").agg(F.count("*").alias("sentences"))
 
 
 def scope_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +291,10 @@ def _amounts(text: str, where: str = "true") -> str:
 _ANY = lambda ws: "(" + " OR ".join(f"contains(text, '{w}')" for w in ws) + ")"
 _UP, _DOWN, _SAME = (_ANY(w) for w in (["增长", "上升", "增加", "提高", "rose", "increased"], ["下降", "减少", "降低", "下调", "降至", "fell", "declined"], ["持平", "不变", "unchanged"]))
 
+_LEVEL = lambda c: f"CASE WHEN {c} IS NULL OR length(trim({c})) > 60 OR trim({c}) = '' OR regexp_matches(trim({c}), '[。；;]$') THEN NULL WHEN regexp_matches(trim({c}), '^第[一二三四五六七八九十百0-9]+[章节]') THEN 1 WHEN regexp_matches(trim({c}), '^[一二三四五六七八九十]+、') THEN 2 WHEN regexp_matches(trim({c}), '^[（(][一二三四五六七八九十]+[）)]') THEN 3 WHEN regexp_matches(trim({c}), '^[0-9]+(\\.[0-9]+)*[.、 ]\\s*[^0-9]') THEN 4 END"
+_NAME = lambda c: f"lower(regexp_replace({_WIDE.replace('{0}', c)}, '[\\s.,，。()]+', '', 'g'))"
+_HAS = lambda c, ws: "coalesce(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ", false)"
+
 SQL = {
     "latest_validity": "SELECT user_id, max(ts) AS ts, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type FROM events GROUP BY 1",
     "validity_transitions": f"WITH r AS (SELECT *, CASE event_type {_RANK} END AS rk FROM events), m AS (SELECT *, max(rk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS met FROM r) SELECT event_type, CASE WHEN rk IS NULL THEN 'unknown' WHEN met IS NULL THEN CASE WHEN rk = 0 THEN 'initial' ELSE 'bad_initial' END WHEN rk = met THEN 'repeat' WHEN rk > met THEN 'forward' ELSE 'backward' END AS verdict, count(*) AS n FROM m GROUP BY 1, 2",
@@ -329,5 +333,10 @@ l AS (SELECT *, CASE WHEN page_number - lag(page_number) OVER w <= 1 AND sig = l
 r AS (SELECT *, sum(starts) OVER (PARTITION BY document_id, document_version ORDER BY page_number, block_index, evidence_id ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT document_id, document_version, run, count(*) AS tables, min(page_number) AS first_page, max(page_number) AS last_page FROM r GROUP BY 1, 2, 3""",
     "amount_extraction": _amounts("text"),
     "value_presence": "WITH c AS (SELECT DISTINCT doc_id, kind, value FROM (" + _amounts("split_part(text, chr(10) || chr(10), 1)", "company_id IS NOT NULL") + ")), e AS (SELECT DISTINCT doc_id, kind, value FROM (" + _amounts("array_to_string(string_split(text, chr(10) || chr(10))[2:], chr(10) || chr(10))", "company_id IS NOT NULL") + ")) SELECT doc_id, count(*) AS figures, count(e.value) AS matched, CASE WHEN count(e.value) = count(*) THEN 'matched' WHEN count(e.value) > 0 THEN 'partial' ELSE 'missing' END AS verdict FROM c LEFT JOIN e USING (doc_id, kind, value) GROUP BY 1",
+    "name_match_status": f"SELECT DISTINCT company_id, document_id, document_version, CASE WHEN declared_company_name IS NULL OR trim(declared_company_name) = '' OR detected_company_names IS NULL OR len(detected_company_names) = 0 THEN 'unverified' WHEN len(list_filter(detected_company_names, lambda d: {_NAME('d')} = {_NAME('declared_company_name')})) > 0 THEN 'matched' ELSE 'mismatch' END AS match_status FROM document_versions",
+    "section_carry_forward": f"WITH {_B}, r AS (SELECT *, CASE WHEN evidence_type = 'heading' THEN {_LEVEL('text')} END AS lv FROM b WHERE evidence_type IN ('heading', 'paragraph')) SELECT evidence_id, last_value(CASE WHEN lv IS NOT NULL THEN trim(text)[1:50] END IGNORE NULLS) OVER w AS section, last_value(lv IGNORE NULLS) OVER w AS section_level FROM r WINDOW w AS (PARTITION BY document_id, document_version ORDER BY page_number, block_index, evidence_id ROWS UNBOUNDED PRECEDING)",
+    "closed_set_guard": f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[。！？\\n]')) AS s FROM documents), x AS (SELECT doc_id, regexp_extract(s, '{V.COUNTED}', 1) AS said, {_HAS('s', V.COMPLETE)} AS hit, {_HAS('s', V.HEDGES)} AS hedged, CASE WHEN contains(s, '、') THEN len(list_filter(string_split(regexp_replace(s, '[，,：:；;（）()]', '、、', 'g'), '、'), lambda p: length(trim(p)) > 0 AND length(trim(p)) <= 6)) ELSE 0 END AS listed FROM s),
+y AS (SELECT *, CASE WHEN said = '' THEN NULL WHEN instr('一二三四五六七八九十', said) > 0 THEN instr('一二三四五六七八九十', said) ELSE try_cast(said AS INT) END AS claimed FROM x WHERE hit) SELECT doc_id, CASE WHEN hedged OR claimed IS NULL OR listed < claimed THEN 'PARTIAL' WHEN listed = claimed THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict, count(*) AS sentences FROM y GROUP BY 1, 2""",
+    "scope_risk": f"SELECT doc_id, CASE WHEN {_HAS('p[1]', ('集团', '合并口径', '整体', '全年', 'the group', 'consolidated'))} AND {_HAS('p[-1]', ('子公司', '分公司', '母公司', '单季', 'subsidiary', 'quarter'))} THEN 'broad_claim_narrow_evidence' END AS risk FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents)",
     "claim_direction": f"SELECT doc_id, CASE WHEN {_UP}::INT + {_DOWN}::INT + {_SAME}::INT > 1 THEN 'mixed' WHEN {_UP} THEN 'increased' WHEN {_DOWN} THEN 'decreased' WHEN {_SAME} THEN 'unchanged' END AS direction FROM documents",
 }

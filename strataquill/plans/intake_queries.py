@@ -340,6 +340,8 @@ _ADMITTED = f"""{Q._INT}, {Q._STATE}, sev AS (SELECT company_id, period_end, sco
 adm AS (SELECT DISTINCT company_id, id, value FROM iv WHERE scope = 'consolidated' AND company_id IS NOT NULL AND period_end IS NOT NULL AND item_code IS NOT NULL AND source IS NOT NULL AND (company_id, period_end, scope, item_code, source) NOT IN (SELECT (company_id, period_end, scope, item_code, source) FROM sev) AND (company_id, period_end, scope, item_code) NOT IN (SELECT (company_id, period_end, scope, item_code) FROM st WHERE state = 'CONFLICT'))"""
 
 SQL = {
+    "item_labels": f"SELECT DISTINCT evidence_id, {_LABEL('text')} AS label, {evidence_queries._LEVEL('text')} AS level FROM evidence_blocks WHERE evidence_type = 'heading'",
+    "mapping": f"WITH t AS (SELECT {_LABEL('title')} AS label, count(DISTINCT title_id) AS n FROM section_titles GROUP BY 1), h AS (SELECT evidence_id, {_LABEL('text')} AS label FROM (SELECT DISTINCT ON (evidence_id) * FROM evidence_blocks WHERE evidence_type = 'heading')) SELECT CASE WHEN t.n IS NULL THEN 'unmapped' WHEN t.n = 1 THEN 'mapped' ELSE 'ambiguous' END AS mapping_status, count(*) AS n FROM h LEFT JOIN t USING (label) GROUP BY 1",
     "equivalent_titles": f"SELECT DISTINCT evidence_id, title_id FROM evidence_blocks JOIN section_titles ON {_BARE('text')} = {_BARE('title')} WHERE evidence_type = 'heading'",
     "inner_headings": """WITH p AS (SELECT DISTINCT evidence_id, text FROM evidence_blocks WHERE evidence_type = 'paragraph' AND text IS NOT NULL), l AS (SELECT evidence_id, string_split(text, chr(10)) AS ls, unnest(range(len(string_split(text, chr(10))))) AS line FROM p), x AS (SELECT evidence_id, line, ls[line + 1] AS s, length(array_to_string(ls[1:line], chr(10))) + (line > 0)::INT AS start FROM l),
 h AS (SELECT *, CASE WHEN length(trim(s)) > 60 OR trim(s) = '' OR regexp_matches(trim(s), '[。；;]$') THEN NULL WHEN regexp_matches(trim(s), '^第[一二三四五六七八九十百0-9]+[章节]') THEN 1 WHEN regexp_matches(trim(s), '^[一二三四五六七八九十]+、') THEN 2 WHEN regexp_matches(trim(s), '^[（(][一二三四五六七八九十]+[）)]') THEN 3 WHEN regexp_matches(trim(s), '^[0-9]+(\\.[0-9]+)*[.、 ]\\s*[^0-9]') THEN 4 END AS level FROM x) SELECT evidence_id, line, start, start + length(s) AS "end", level FROM h WHERE level IS NOT NULL""",
