@@ -121,7 +121,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit_domains(docs: DataFrame, key: str, text_col: str, source_col: str, names: Sequence[str], pool: int = 2400, longest: int = 20_000) -> Domains:
-    """The classifier, fitted on about ``pool`` labelled texts of at most ``longest`` characters each, picked by a threshold on the hash of the key."""
+    """The classifier, fitted on about ``pool`` labelled texts (but no more than half of them) of at most ``longest`` characters each, picked by a threshold on the hash of the key."""
     names = list(names)
     texts = _sampled(docs, key, text_col, source_col, names, pool, longest)[0].collect()
     texts.sort(key=lambda r: (r.h, r.t))
@@ -132,7 +132,7 @@ def _sampled(docs: DataFrame, key: str, text_col: str, source_col: str, names: l
     """(texts the classifier is fitted on, all other labelled texts)"""
     rows = docs.select(F.xxhash64(F.lit(5), key).alias("h"), F.col(source_col).cast("string").alias("s"), F.col(text_col).alias("t"))
     known = rows.where(F.col("s").isin(names) & F.col("t").isNotNull())
-    limit = hash_threshold(min(1.0, pool / max(1, docs.where(F.col(source_col).isin(names)).count())))
+    limit = hash_threshold(min(0.5, pool / max(1, docs.where(F.col(source_col).isin(names)).count())))
     chosen = (F.col("h") <= limit) & (F.length("t") <= longest)
     return known.where(chosen), known.where(~chosen)
 
