@@ -241,10 +241,20 @@ def number_identity(pairs: DataFrame, dimensions: Sequence[str]) -> Column:
     return chain.when(F.col("a_value").isNull() | F.col("b_value").isNull(), "INCOMPARABLE").when(F.col("a_value") == F.col("b_value"), "SAME").otherwise("CONFLICT")
 
 
-def focus_periods(facts: DataFrame, company: str, years: int = 3) -> DataFrame:
-    """Periods a company is read at: its last ``years`` year ends, and its latest period of each other kind."""
+def focus_periods(facts: DataFrame, company: str, years: int = 3, as_of: str | None = None) -> DataFrame:
+    """Periods a company is read at: its last ``years`` year ends, its latest interim and quarterly period, and ``as_of``.
+
+    A company without figures at ``as_of`` (YYYY-MM-DD) is read at its last period instead. Each period has one row.
+    """
     from strataquill.functions.columns import period_type
 
     ends = facts.select(company, "period_end").where("period_end is not null").distinct().withColumn("period_type", period_type(F.col("period_end")))
     ranked = ends.withColumn("__n", F.row_number().over(W.partitionBy(company, "period_type").orderBy(F.col("period_end").desc())))
-    return ranked.where((F.col("__n") == 1) | (F.col("period_type") == "annual") & (F.col("__n") <= years)).select(company, "period_end", "period_type")
+    ranked = ranked.withColumn("__last", F.max("period_end").over(W.partitionBy(company)))
+    chosen = (F.col("__n") == 1) | (F.col("period_type") == "annual") & (F.col("__n") <= years)
+    if as_of is not None:
+        at = F.lit(as_of).cast("date")
+        there = F.max(F.when(F.col("period_end") == at, 1)).over(W.partitionBy(company))
+        ranked = ranked.withColumn("__at", F.when(there == 1, at).otherwise(F.col("__last")))
+        chosen = chosen | (F.col("period_end") == F.col("__at"))
+    return ranked.where(chosen).select(company, "period_end", "period_type")

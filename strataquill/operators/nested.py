@@ -325,3 +325,14 @@ class TaggedTables:
     def child(self, tag: str) -> DataFrame:
         """The flat table of one kind, repeated deliveries of a row once."""
         return read_tagged(self.spark, self.path, tag, self.schemas[tag]).distinct()
+
+
+#: Kinds of objects of a research contract, and the fields that hold them.
+CONTRACT_KINDS = {"section": ("sections",), "topic": ("topics",), "question": ("questions",), "aspect": ("aspects",)}
+
+
+def contract_tables(contracts: DataFrame, key: str, json_col: str) -> DataFrame:
+    """Tagged rows of versioned contracts (sections, topics, questions, aspects) with ``fingerprint``, the SHA-256 of the text they were read from."""
+    rows = emit_nested(contracts, key, json_col, "contract", CONTRACT_KINDS)
+    marks = contracts.select(F.col(key).cast("string").alias("record_key"), F.sha2(F.col(json_col), 256).alias("fingerprint")).distinct()
+    return rows.join(marks, "record_key")

@@ -186,3 +186,37 @@ def reference_occurrences(rows: DataFrame, key: str, text_col: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], names=schema.names)
 
     return rows.where(F.col(text_col).isNotNull()).select(key, text_col).mapInArrow(read, schema)
+
+
+def toc_entries(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """(keys, line, title, page) of the lines of a contents page: a title, leaders or wide blanks, and a page number at the end."""
+    pattern = "^\\s*(\\S.*?)\\s*(?:[.·…]{2,}|\\s{3,})\\s*([0-9]{1,4})\\s*$"
+    lines = rows.where(F.col(text_col).isNotNull()).select(*keys, F.posexplode(F.split(text_col, "\n")).alias("line", "__l")).where(F.col("__l").rlike(pattern))
+    return lines.select(*keys, "line", F.regexp_extract("__l", pattern, 1).alias("title"), F.regexp_extract("__l", pattern, 2).cast("int").alias("page"))
+
+
+def outline(headings: DataFrame, doc: Sequence[str], order: Sequence[str], node: str, level: str, levels: int = 4) -> DataFrame:
+    """(doc, node, level, parent) of the headings of a document: the parent is the last heading before it of an outer level.
+
+    Headings without a level or of one beyond ``levels`` are left out. One pass over the headings of each document.
+    """
+    so_far = W.partitionBy(*doc).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = headings.where(F.col(level).between(1, levels))
+    last = {n: F.max(F.when(F.col(level) == n, F.struct(*order, F.col(node).alias("__node")))).over(so_far) for n in range(1, levels)}
+    outer = [F.when(F.col(level) > n, last[n]) for n in last]
+    return rows.withColumn("__p", F.greatest(*outer) if len(outer) > 1 else outer[0]).select(*doc, node, level, F.col("__p.__node").alias("parent"))
+
+
+def note_cells(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, label, cell, value) of rows of a note table given as text: a label, then amounts with decimals in their columns."""
+    found = rows.select(key, F.regexp_extract(text_col, "^\\s*(\\S+)", 1).alias("label"), F.posexplode(F.regexp_extract_all(text_col, F.lit("(?<![0-9.,])(-?[0-9][0-9,]*\\.[0-9]+)(?![0-9,]|\\.[0-9])"), F.lit(1))).alias("cell", "__v"))
+    return found.select(key, "label", "cell", F.regexp_replace("__v", ",", "").try_cast("decimal(24,4)").alias("value"))
+
+
+def with_table_context(blocks: DataFrame, doc: Sequence[str], order: Sequence[str], within: int = 1) -> DataFrame:
+    """Rows of tables with ``table_id`` and ``table_title`` of the last table block before them, if it is at most ``within`` pages back."""
+    so_far = W.partitionBy(*doc).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    head = F.last(F.when(F.col("evidence_type") == "table", F.struct("evidence_id", "text", "page_number")), ignorenulls=True).over(so_far)
+    rows = blocks.where("evidence_type in ('table', 'table_row')").withColumn("__t", head).where("evidence_type = 'table_row'")
+    near = F.col("page_number") - F.col("__t.page_number") <= within
+    return rows.withColumn("table_id", F.when(near, F.col("__t.evidence_id"))).withColumn("table_title", F.when(near, F.col("__t.text"))).drop("__t")

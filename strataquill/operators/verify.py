@@ -77,3 +77,36 @@ def scope_risk(claim: Column, evidence: Column) -> Column:
 def coverage(figures: DataFrame, keys: Sequence[str], hit: Column) -> DataFrame:
     """Share of figures that are backed, per key and over all."""
     return figures.groupBy(*keys).agg(F.count("*").alias("figures"), F.count_if(hit).alias("backed")).withColumn("share", F.round(F.col("backed") / F.col("figures"), 6))
+
+
+BARE = "(?<![0-9.,A-Za-z-])-?[0-9][0-9,]*(?:\\.[0-9]+)?(?:亿元|千万元|百万元|万元|千元|元|%)?"
+SIZES = {"亿元": 100000000, "千万元": 10000000, "百万元": 1000000, "万元": 10000, "千元": 1000, "元": 1}
+
+
+def amounts_in_context(rows: DataFrame, key: str, text: Column, header_unit: Column, table_unit: Column) -> DataFrame:
+    """(key, kind, value, shown, basis) of all numbers of a text: by the unit written after them, else that of their column, else of their table.
+
+    A number without any is ``ambiguous`` and keeps its bare value; an amount is in yuan, a percentage as written.
+    """
+    found = rows.select(key, header_unit.alias("__h"), table_unit.alias("__t"), F.explode(F.array_distinct(F.regexp_extract_all(fold_width(text), F.lit(f"({BARE})"), F.lit(1)))).alias("shown"))
+    own = F.nullif(F.regexp_extract("shown", "(亿元|千万元|百万元|万元|千元|元|%)$", 1), F.lit(""))
+    basis = F.when(own.isNotNull(), "inline").when(F.col("__h").isNotNull(), "column").when(F.col("__t").isNotNull(), "table")
+    unit = F.coalesce(own, F.col("__h"), F.col("__t"))
+    size = F.try_element_at(F.create_map(*(F.lit(x) for pair in SIZES.items() for x in pair)), unit)
+    number = F.regexp_replace(F.regexp_extract("shown", "^(-?[0-9][0-9,]*(?:\\.[0-9]+)?)", 1), ",", "").try_cast("decimal(24,4)")
+    kind = F.when(unit == "%", "percent").when(size.isNotNull(), "money").otherwise("ambiguous")
+    return found.select(key, kind.alias("kind"), (number * F.when(kind == "money", size).otherwise(1)).cast("decimal(34,4)").alias("value"), "shown", F.when(kind == "ambiguous", F.lit(None)).otherwise(basis).alias("basis"))
+
+
+def scope_drop(period: Column, role: Column, wanted_period: Column, roles: Sequence[str]) -> Column:
+    """Why evidence is out of scope for a claim: role_not_allowed, period_unknown or period_mismatch; null if it may be used."""
+    return F.when(~F.coalesce(role.isin(*roles), F.lit(False)), "role_not_allowed").when(period.isNull(), "period_unknown").when(period != wanted_period, "period_mismatch")
+
+
+def value_trace(claimed: DataFrame, stages: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """``claimed`` values with a flag per stage, and ``last_seen``: the last stage in order that still holds the value, none where no stage does."""
+    rows = claimed.select(*keys).distinct()
+    for name, held in stages.items():
+        rows = rows.join(held.select(*keys).distinct().withColumn(name, F.lit(True)), list(keys), "left").na.fill(False, [name])
+    last = F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in stages)))
+    return rows.withColumn("last_seen", F.coalesce(F.try_element_at(last, F.lit(-1)), F.lit("none")))

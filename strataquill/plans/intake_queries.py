@@ -15,6 +15,7 @@ from strataquill.operators import intervals as N
 from strataquill.operators import metrics
 from strataquill.operators import retrieval as R
 from strataquill.operators import structure as S
+from strataquill.operators import verify as V
 from strataquill.plans import evidence_queries
 from strataquill.plans import fact_queries as Q
 from strataquill.session import table
@@ -287,9 +288,55 @@ def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.page_quality(pages.withColumn("text", F.repeat(F.lit("x"), F.least("n", F.lit(100)).cast("int"))), ["document_id", "document_version"], "text")
 
 
+def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents of all numbered headings."""
+    heads = _blocks(spark, sf_dir).where("evidence_type = 'heading' and document_id is not null").dropDuplicates(["evidence_id"]).withColumn("level", C.heading_level(F.col("text")))
+    return S.outline(heads, ["document_id", "document_version"], ["page_number", "block_index", "evidence_id"], "evidence_id", "level")
+
+
+def contents_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents lines that the titles and the first pages they stand on would make, read back."""
+    pages = _blocks(spark, sf_dir).where("evidence_type = 'heading' and document_id is not null and text is not null").groupBy("document_id", "text").agg(F.min("page_number").alias("p"))
+    lines = pages.select("document_id", F.concat_ws("\n", F.lit("目录"), F.concat("text", F.lit(" ...... "), F.col("p").cast("string")), F.concat("text", F.lit("     "), F.col("p").cast("string"))).alias("text"))
+    return S.toc_entries(lines, ["document_id"], "text").distinct()
+
+
+def note_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.note_cells(_blocks(spark, sf_dir).where("evidence_type = 'table_row'").select("evidence_id", "text").distinct(), "evidence_id", "text")
+
+
+def table_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables with the title of their table."""
+    rows = _blocks(spark, sf_dir).dropDuplicates(["evidence_id"])
+    return S.with_table_context(rows, ["document_id", "document_version"], ["page_number", "block_index", "evidence_id"]).select("evidence_id", "table_id", "table_title")
+
+
+def amounts_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of table rows, by their own unit or that of the figures reported for the company and period."""
+    rows = _blocks(spark, sf_dir).where("evidence_type = 'table_row' and text is not null").select("evidence_id", "text", "company_id", "report_period").distinct()
+    header = F.when(F.col("company_id") == "CX000001", F.lit("万元"))
+    return V.amounts_in_context(rows, "evidence_id", F.col("text"), header, F.when(F.col("report_period").endswith("-12-31"), F.lit("千元")))
+
+
+def scope_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that may not back a claim about the end of 2023 from annual reports and circulars, by reason."""
+    reason = V.scope_drop(F.col("report_period"), F.col("source_type"), F.lit("2023-12-31"), ("annual_report", "debt_circular"))
+    return _blocks(spark, sf_dir).select("evidence_id", reason.alias("reason")).distinct().groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def value_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money amounts of the first paragraph of documents: still in the rest of the document, and in the figures of the company?"""
+    docs = table(spark, sf_dir, "documents").where("company_id is not null").select("doc_id", "company_id", F.split("text", "\n\n").alias("p"))
+    keys = ["doc_id", "company_id", "value"]
+    held = lambda text: V.amounts(docs.withColumn("__t", text), "doc_id", F.col("__t")).where("kind = 'money'").join(docs.select("doc_id", "company_id"), "doc_id").select(*keys)
+    claimed = held(F.get("p", F.lit(0)))
+    figures = Q._records(spark, sf_dir).where("value is not null and company_id is not null").select("company_id", F.col("value").cast("decimal(34,4)").alias("value")).distinct()
+    return V.value_trace(claimed, {"in_rest": held(F.array_join(F.slice("p", F.lit(2), F.size("p")), "\n\n")), "in_figures": claimed.join(figures, ["company_id", "value"])}, keys)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (equivalent_titles, inner_headings, references, toc_reconciliation, span_conservation, rule_verdicts, source_policy, snapshot_ids, page_quality, source_grades, source_types, registered_sources, quarantined_versions, released_blocks, inventory_difference, version_union, version_rollup, resume_outcomes, as_of_selection, question_targets, structured_lookup, period_comparison, anchor_dates, header_periods, relative_headers, period_words, explicit_periods, compared_periods, late_scopes, blocking, revenue_cost, locators, pending_mappings, context_expansion, dense_filtered)
+    for f in (document_outline, contents_entries, note_cells, table_context, amounts_in_context, scope_drops, value_trace, equivalent_titles, inner_headings, references, toc_reconciliation, span_conservation, rule_verdicts, source_policy, snapshot_ids, page_quality, source_grades, source_types, registered_sources, quarantined_versions, released_blocks, inventory_difference, version_union, version_rollup, resume_outcomes, as_of_selection, question_targets, structured_lookup, period_comparison, anchor_dates, header_periods, relative_headers, period_words, explicit_periods, compared_periods, late_scopes, blocking, revenue_cost, locators, pending_mappings, context_expansion, dense_filtered)
 }
 
 _V = "company_id, document_id, document_version"
@@ -339,7 +386,14 @@ _LAST_TWO = f"WITH {Q._LINES}, {Q._formula_sql()}, ye AS (SELECT company_id, lis
 _ADMITTED = f"""{Q._INT}, {Q._STATE}, sev AS (SELECT company_id, period_end, scope, item_code, source FROM iv WHERE company_id IS NOT NULL AND period_end IS NOT NULL AND scope IS NOT NULL AND item_code IS NOT NULL AND source IS NOT NULL GROUP BY ALL HAVING count(DISTINCT value) > 1),
 adm AS (SELECT DISTINCT company_id, id, value FROM iv WHERE scope = 'consolidated' AND company_id IS NOT NULL AND period_end IS NOT NULL AND item_code IS NOT NULL AND source IS NOT NULL AND (company_id, period_end, scope, item_code, source) NOT IN (SELECT (company_id, period_end, scope, item_code, source) FROM sev) AND (company_id, period_end, scope, item_code) NOT IN (SELECT (company_id, period_end, scope, item_code) FROM st WHERE state = 'CONFLICT'))"""
 
+_LV = lambda n: f"max(CASE WHEN level = {n} THEN struct_pack(a := page_number, b := block_index, c := evidence_id) END) OVER w"
 SQL = {
+    "document_outline": f"WITH h AS (SELECT *, {evidence_queries._LEVEL('text')} AS level FROM (SELECT DISTINCT ON (evidence_id) * FROM evidence_blocks WHERE evidence_type = 'heading' AND document_id IS NOT NULL)), l AS (SELECT document_id, document_version, evidence_id, level, {_LV(1)} AS x1, {_LV(2)} AS x2, {_LV(3)} AS x3 FROM h WHERE level IS NOT NULL WINDOW w AS (PARTITION BY document_id, document_version ORDER BY page_number, block_index, evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT document_id, document_version, evidence_id, level, list_max(list_filter([CASE WHEN level > 1 THEN x1 END, CASE WHEN level > 2 THEN x2 END, CASE WHEN level > 3 THEN x3 END], lambda x: x IS NOT NULL)).c AS parent FROM l",
+    "contents_entries": "WITH p AS (SELECT document_id, text, min(page_number) AS page FROM evidence_blocks WHERE evidence_type = 'heading' AND document_id IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2), l AS (SELECT document_id, page, string_split(text, chr(10)) AS s FROM p) SELECT DISTINCT document_id, unnest([len(s), len(s) + len(s)])::INT AS line, trim(s[-1], chr(32) || chr(9) || chr(13)) AS title, page FROM l WHERE trim(s[-1]) <> '' AND page BETWEEN 0 AND 9999",
+    "note_cells": "WITH r AS (SELECT DISTINCT evidence_id, text FROM evidence_blocks WHERE evidence_type = 'table_row'), c AS (SELECT evidence_id, regexp_extract(text, '^\\s*(\\S+)', 1) AS label, regexp_extract_all(' ' || regexp_replace(text, '([0-9]) ', '\\1  ', 'g') || ' ', '[^0-9.,](-?[0-9][0-9,]*\\.[0-9]+)[^0-9,]', 1) AS v FROM r) SELECT evidence_id, label, unnest(range(len(v)))::INT AS cell, replace(unnest(v), ',', '')::DECIMAL(24,4) AS value FROM c",
+    "table_context": "WITH b AS (SELECT DISTINCT ON (evidence_id) * FROM evidence_blocks), t AS (SELECT *, last_value(CASE WHEN evidence_type = 'table' THEN struct_pack(i := evidence_id, t := text, p := page_number) END IGNORE NULLS) OVER (PARTITION BY document_id, document_version ORDER BY page_number, block_index, evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x FROM b WHERE evidence_type IN ('table', 'table_row')) SELECT evidence_id, CASE WHEN page_number - x.p <= 1 THEN x.i END AS table_id, CASE WHEN page_number - x.p <= 1 THEN x.t END AS table_title FROM t WHERE evidence_type = 'table_row'",
+    "scope_drops": "SELECT reason, count(*) AS n FROM (SELECT DISTINCT evidence_id, CASE WHEN source_type IS NULL OR source_type NOT IN ('annual_report', 'debt_circular') THEN 'role_not_allowed' WHEN report_period IS NULL THEN 'period_unknown' WHEN report_period <> '2023-12-31' THEN 'period_mismatch' END AS reason FROM evidence_blocks) GROUP BY 1",
+    "value_trace": f"WITH {Q._REC}, a AS (SELECT DISTINCT doc_id, value FROM (" + evidence_queries._amounts("split_part(text, chr(10) || chr(10), 1)", "company_id IS NOT NULL") + ") WHERE kind = 'money'), z AS (SELECT DISTINCT doc_id, value FROM (" + evidence_queries._amounts("array_to_string(string_split(text, chr(10) || chr(10))[2:], chr(10) || chr(10))", "company_id IS NOT NULL") + ") WHERE kind = 'money'), c AS (SELECT doc_id, company_id, value FROM a JOIN documents USING (doc_id)), f AS (SELECT DISTINCT company_id, value::DECIMAL(34,4) AS value FROM rec WHERE value IS NOT NULL AND company_id IS NOT NULL), m AS (SELECT c.*, (doc_id, value) IN (SELECT (doc_id, value) FROM z) AS in_rest, (company_id, value) IN (SELECT (company_id, value) FROM f) AS in_figures FROM c) SELECT *, CASE WHEN in_figures THEN 'in_figures' WHEN in_rest THEN 'in_rest' ELSE 'none' END AS last_seen FROM m",
     "item_labels": f"SELECT DISTINCT evidence_id, {_LABEL('text')} AS label, {evidence_queries._LEVEL('text')} AS level FROM evidence_blocks WHERE evidence_type = 'heading'",
     "mapping": f"WITH t AS (SELECT {_LABEL('title')} AS label, count(DISTINCT title_id) AS n FROM section_titles GROUP BY 1), h AS (SELECT evidence_id, {_LABEL('text')} AS label FROM (SELECT DISTINCT ON (evidence_id) * FROM evidence_blocks WHERE evidence_type = 'heading')) SELECT CASE WHEN t.n IS NULL THEN 'unmapped' WHEN t.n = 1 THEN 'mapped' ELSE 'ambiguous' END AS mapping_status, count(*) AS n FROM h LEFT JOIN t USING (label) GROUP BY 1",
     "equivalent_titles": f"SELECT DISTINCT evidence_id, title_id FROM evidence_blocks JOIN section_titles ON {_BARE('text')} = {_BARE('title')} WHERE evidence_type = 'heading'",

@@ -288,6 +288,37 @@ def test_reference_occurrences(spark):
     assert values(spark, lambda x: C.equivalent(x, F.lit("A b"), True), ["Ａ b", "A\u200bb", "a b", None]) == [True, True, False, None]
 
 
+def test_contents_outline_and_tables(spark):
+    pages = spark.createDataFrame([("d", "目录\n第一节 概况 ...... 3\n二、风险     12\n正文 5 页\n\n"), ("e", None), ("f", "")], "doc string, text string")
+    assert [(r.doc, r.line, r.title, r.page) for r in S.toc_entries(pages, ["doc"], "text").orderBy("line").collect()] == [("d", 1, "第一节 概况", 3), ("d", 2, "二、风险", 12)]
+    levels = [1, 2, 3, 2, 4, 1, None, 3]
+    heads = spark.createDataFrame([("d", i, f"h{i}", v) for i, v in enumerate(levels)], "doc string, place int, node string, level int")
+    assert {r.node: r.parent for r in S.outline(heads, ["doc"], ["place"], "node", "level").collect()} == {"h0": None, "h1": "h0", "h2": "h1", "h3": "h0", "h4": "h3", "h5": None, "h7": "h5"}
+    rows = spark.createDataFrame([("a", "其他应付款 DB-2023-1908437 33,310.57 -48,081.82"), ("b", "无"), ("c", None), ("d", "1.2.3 x")], "k string, text string")
+    assert [(r.k, r.label, r.cell, float(r.value)) for r in S.note_cells(rows, "k", "text").orderBy("k", "cell").collect()] == [("a", "其他应付款", 0, 33310.57), ("a", "其他应付款", 1, -48081.82)]
+    amounts = V.amounts_in_context(spark.createDataFrame([("a", "收入 1,234.5万元 12% 7", None, None), ("b", "7", "千元", "元"), ("c", "7", None, "亿元"), ("d", None, None, None), ("e", "7", "桶", None)], "k string, t string, h string, u string"), "k", F.col("t"), F.col("h"), F.col("u"))
+    assert {(r.k, r.kind, float(r.value), r.basis) for r in amounts.collect()} == {("a", "money", 12345000.0, "inline"), ("a", "percent", 12.0, "inline"), ("a", "ambiguous", 7.0, None), ("b", "money", 7000.0, "column"), ("c", "money", 7e8, "table"), ("e", "ambiguous", 7.0, None)}
+    closed = ["前三名供应商为甲、乙、丙。", "共2家：甲、乙、丙", "前五名为甲、乙", "前三名主要为甲、乙、丙", "合计增长", "甲、乙", None]
+    assert values(spark, V.closed_set, closed) == ["PARTIAL", "UNSUPPORTED", "PARTIAL", "PARTIAL", "PARTIAL", "NOT_TRIGGERED", "NOT_TRIGGERED"]
+
+
+def test_focus_as_of(spark):
+    ends = [dt.date(y, 12, 31) for y in (2019, 2020, 2021, 2022)] + [dt.date(2020, 6, 30), dt.date(2022, 6, 30), dt.date(2023, 3, 31), dt.date(2021, 3, 31)]
+    facts = spark.createDataFrame([("c", e) for e in ends] + [("z", dt.date(2020, 3, 31)), ("z", None)], "c string, period_end date")
+    read = lambda **k: sorted((r.c, str(r.period_end)) for r in A.focus_periods(facts, "c", **k).collect())
+    base = [("c", "2020-12-31"), ("c", "2021-12-31"), ("c", "2022-06-30"), ("c", "2022-12-31"), ("c", "2023-03-31"), ("z", "2020-03-31")]
+    assert read() == base and read(as_of="2021-03-31") == sorted([*base, ("c", "2021-03-31")]) and read(as_of="1999-01-01") == base
+
+
+def test_contracts_and_versions(spark):
+    from strataquill.operators import nested
+
+    doc = '{"sections": [{"section_id": "s", "topics": [{"topic_id": "t", "questions": [{"question_id": "q", "text": "x", "aspects": {"a1": {"w": 1}}}]}]}]}'
+    rows = nested.contract_tables(spark.createDataFrame([("v1", doc), ("v2", "no json"), ("v3", None)], "version string, body string"), "version", "body").collect()
+    assert {(r.record_key, r.table_tag, r.parent_id, r.child_id) for r in rows} == {("v1", "section", "v1", "s"), ("v1", "topic", "s", "t"), ("v1", "question", "t", "q"), ("v1", "aspect", "q", "a1")}
+    assert len({r.fingerprint for r in rows}) == 1 and len(rows[0].fingerprint) == 64
+
+
 def test_expansion_budgets(spark):
     kinds = ["table", "paragraph", "paragraph", "paragraph", "heading", "paragraph", "table", "paragraph", "paragraph"]
     rows = [("d", f"e{i}", i // 4, i % 4, k, "x" * 100) for i, k in enumerate(kinds)] + [("e", "f0", 1, 0, "table", None), ("e", "f1", 1, 1, "paragraph", "y" * 300), ("e", "f2", 9, 0, "paragraph", "y")]
