@@ -44,7 +44,7 @@ NUMERALS = {n: i + 1 for i, n in enumerate("一二三四五六七八九十")}
 def closed_set(sentence: Column) -> Column:
     """Verdict on a sentence that claims to list all of a counted set, by the members it lists.
 
-    NOT_TRIGGERED without a word of completeness; PARTIAL if hedged, without a count, or with fewer members listed than
+    NOT_TRIGGERED without a word of completeness or a count; PARTIAL if hedged, without a count, or with fewer members listed than
     counted; SUPPORTED if as many are listed, UNSUPPORTED if more are. Members are the parts of up to 6 characters between
     enumeration commas; a sentence without such a comma lists none.
     """
@@ -52,7 +52,7 @@ def closed_set(sentence: Column) -> Column:
     claimed = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in NUMERALS.items() for x in pair)), said), said.try_cast("int"))
     parts = F.split(F.regexp_replace(sentence, "[，,：:；;（）()]", "、、"), "、")
     listed = F.when(sentence.contains("、"), F.size(F.filter(F.transform(parts, F.trim), lambda x: (F.length(x) > 0) & (F.length(x) <= 6)))).otherwise(0)
-    triggered, hedged = contains_any(sentence, list(COMPLETE)), contains_any(sentence, list(HEDGES))
+    triggered, hedged = contains_any(sentence, list(COMPLETE)) | F.coalesce(said != "", F.lit(False)), contains_any(sentence, list(HEDGES))
     return F.when(~triggered, "NOT_TRIGGERED").when(hedged | claimed.isNull() | (listed < claimed), "PARTIAL").when(listed == claimed, "SUPPORTED").otherwise("UNSUPPORTED")
 
 

@@ -336,7 +336,7 @@ r AS (SELECT *, sum(starts) OVER (PARTITION BY document_id, document_version ORD
     "name_match_status": f"SELECT DISTINCT company_id, document_id, document_version, CASE WHEN declared_company_name IS NULL OR trim(declared_company_name) = '' OR detected_company_names IS NULL OR len(detected_company_names) = 0 THEN 'unverified' WHEN len(list_filter(detected_company_names, lambda d: {_NAME('d')} = {_NAME('declared_company_name')})) > 0 THEN 'matched' ELSE 'mismatch' END AS match_status FROM document_versions",
     "section_carry_forward": f"WITH {_B}, r AS (SELECT *, CASE WHEN evidence_type = 'heading' THEN {_LEVEL('text')} END AS lv FROM b WHERE evidence_type IN ('heading', 'paragraph')) SELECT evidence_id, last_value(CASE WHEN lv IS NOT NULL THEN trim(text)[1:50] END IGNORE NULLS) OVER w AS section, last_value(lv IGNORE NULLS) OVER w AS section_level FROM r WINDOW w AS (PARTITION BY document_id, document_version ORDER BY page_number, block_index, evidence_id ROWS UNBOUNDED PRECEDING)",
     "closed_set_guard": f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[。！？\\n]')) AS s FROM documents), x AS (SELECT doc_id, regexp_extract(s, '{V.COUNTED}', 1) AS said, {_HAS('s', V.COMPLETE)} AS hit, {_HAS('s', V.HEDGES)} AS hedged, CASE WHEN contains(s, '、') THEN len(list_filter(string_split(regexp_replace(s, '[，,：:；;（）()]', '、、', 'g'), '、'), lambda p: length(trim(p)) > 0 AND length(trim(p)) <= 6)) ELSE 0 END AS listed FROM s),
-y AS (SELECT *, CASE WHEN said = '' THEN NULL WHEN instr('一二三四五六七八九十', said) > 0 THEN instr('一二三四五六七八九十', said) ELSE try_cast(said AS INT) END AS claimed FROM x WHERE hit) SELECT doc_id, CASE WHEN hedged OR claimed IS NULL OR listed < claimed THEN 'PARTIAL' WHEN listed = claimed THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict, count(*) AS sentences FROM y GROUP BY 1, 2""",
+y AS (SELECT *, CASE WHEN said = '' THEN NULL WHEN instr('一二三四五六七八九十', said) > 0 THEN instr('一二三四五六七八九十', said) ELSE try_cast(said AS INT) END AS claimed FROM x WHERE hit OR said <> '') SELECT doc_id, CASE WHEN hedged OR claimed IS NULL OR listed < claimed THEN 'PARTIAL' WHEN listed = claimed THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict, count(*) AS sentences FROM y GROUP BY 1, 2""",
     "scope_risk": f"SELECT doc_id, CASE WHEN {_HAS('p[1]', ('集团', '合并口径', '整体', '全年', 'the group', 'consolidated'))} AND {_HAS('p[-1]', ('子公司', '分公司', '母公司', '单季', 'subsidiary', 'quarter'))} THEN 'broad_claim_narrow_evidence' END AS risk FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents)",
     "claim_direction": f"SELECT doc_id, CASE WHEN {_UP}::INT + {_DOWN}::INT + {_SAME}::INT > 1 THEN 'mixed' WHEN {_UP} THEN 'increased' WHEN {_DOWN} THEN 'decreased' WHEN {_SAME} THEN 'unchanged' END AS direction FROM documents",
 }
