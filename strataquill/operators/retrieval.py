@@ -17,6 +17,10 @@ from strataquill.functions.columns import tokens
 from strataquill.session import exists, shared_dir
 
 
+#: Rows of query terms (some 50 bytes each) that a search may send to every task.
+BROADCAST_TERMS = 200_000
+
+
 class SearchIndex:
     """A stored index of terms: postings in the order of their terms, term statistics, and the size of the collection.
 
@@ -61,13 +65,16 @@ class SearchIndex:
         """(query key, key, score, rank): the ``k`` best texts of each query.
 
         A query term counts as often as it occurs; the score is rounded to 10 places for ranking, ties go to the smaller
-        key. Only postings of query terms are read on; a term that is in very many texts is split by adaptive execution.
-        Queries without terms and texts without a common term give no rows.
+        key. The query terms are counted first: up to ``BROADCAST_TERMS`` are sent to the postings, which then need no shuffle
+        before their scores are summed; more are joined by term, and adaptive execution splits a term that is in very many
+        texts. Queries without terms and texts without a common term give no rows.
         """
         asked = queries.select(query_key, F.explode(tokens(query_text)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
         idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weighted = asked.join(self.terms, "term").crossJoin(F.broadcast(self.size)).select(query_key, "term", "avgdl", (F.col("qtf") * idf).alias("w"))
         part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        if asked.count() <= BROADCAST_TERMS:
+            weighted = F.broadcast(weighted)
         scored = self.postings.join(weighted, "term").groupBy(query_key, "key").agg(F.sum(part).alias("raw"))
         best = W.partitionBy(query_key).orderBy(F.round("raw", 10).desc(), F.col("key"))
         return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_key, F.col("key").alias(key), F.round("raw", 6).alias("score"), "rank")
