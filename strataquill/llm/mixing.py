@@ -187,9 +187,9 @@ def measured(docs: DataFrame, key: str, text_col: str, source_col: str, names: S
     return rows.mapInArrow(measure, schema)
 
 
-def _dot(values: Sequence[float]) -> Column:
-    """Sum over the domains of membership times value."""
-    return sum((F.get("member", F.lit(i)) * F.lit(float(v)) for i, v in enumerate(values)), F.lit(0.0))
+def _dot(values: Sequence[float]) -> str:
+    """Sum over the domains of membership times value, in SQL."""
+    return "(" + " + ".join(f"member[{i}] * {float(v)!r}D" for i, v in enumerate(values)) + ")"
 
 
 def _cap(names: Sequence[str], caps: Sequence[float]) -> Column:
@@ -197,12 +197,12 @@ def _cap(names: Sequence[str], caps: Sequence[float]) -> Column:
     own = None
     for name, cap in zip(names, caps, strict=True):
         own = F.when(F.col("source") == name, float(cap)) if own is None else own.when(F.col("source") == name, float(cap))
-    return own.otherwise(F.floor(_dot(caps)).cast("double"))
+    return own.otherwise(F.floor(F.expr(_dot(caps))).cast("double"))
 
 
-def _rate(pushed: Sequence[float], names: Sequence[str], caps: Sequence[float]) -> Column:
+def _rate(pushed: Sequence[float], cap: Column) -> Column:
     """The rate of a document after steps that sum to ``pushed``: 1 at first, and always between 0 and its cap."""
-    return F.greatest(F.lit(0.0), F.least(_cap(names, caps), F.lit(1.0) + _dot(pushed)))
+    return F.greatest(F.lit(0.0), F.least(cap, F.expr(f"1.0D + {_dot(pushed)}")))
 
 
 def fit_rates(sized: DataFrame, names: Sequence[str], shares: Sequence[float], caps: Sequence[float], size: float | None = None, tolerance: float = 1e-5, steps: int = 500) -> tuple[Column, DataFrame]:
@@ -213,20 +213,21 @@ def fit_rates(sized: DataFrame, names: Sequence[str], shares: Sequence[float], c
     steepest curvature. Steps end when no domain moves by more than ``tolerance`` of the mix; if ``steps`` do not suffice,
     RuntimeError tells how far they moved. ``size`` is the size of the mix in tokens, by default that of all documents.
     """
-    cells = written(sized.where("tokens > 0").groupBy("source", "member").agg(F.sum("tokens").cast("double").alias("tokens")), "mixing-cells").coalesce(8)
+    cells = written(sized.where("tokens > 0").groupBy("source", "member").agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("cap", _cap(names, caps)), "mixing-cells").coalesce(4)
+    sums = [F.expr(f"sum(used * member[{i}])").alias(str(i)) for i in range(len(names))]
 
     def totals(rate: Column) -> np.ndarray:
-        row = cells.select("*", (rate * F.col("tokens")).alias("used")).agg(*(F.sum(F.col("used") * F.get("member", F.lit(i))).alias(str(i)) for i in range(len(names)))).first()
+        row = cells.select("member", (rate * F.col("tokens")).alias("used")).agg(*sums).first()
         return np.array([x or 0.0 for x in row])
 
     own = totals(F.lit(1.0))
     size = float(own.sum()) if size is None else size
     target = np.array(shares) * size
     pushed = np.zeros(len(names))
-    reached = totals(_rate(pushed, names, caps))
+    reached = totals(_rate(pushed, F.col("cap")))
     for _ in range(steps):
         pushed = pushed + (target - reached) / np.maximum(own, 1.0)
-        before, reached = reached, totals(_rate(pushed, names, caps))
+        before, reached = reached, totals(_rate(pushed, F.col("cap")))
         moved = float(np.abs(reached - before).max())
         if moved <= tolerance * max(1.0, size):
             break
@@ -235,7 +236,7 @@ def fit_rates(sized: DataFrame, names: Sequence[str], shares: Sequence[float], c
     total = float(reached.sum()) or 1.0
     rows = [(n, float(s), float(r / total), float(o), float(t), float(r), bool(r >= t * (1 - 1e-4))) for n, s, r, o, t, r in zip(names, shares, reached, own, target, reached, strict=True)]
     report = sized.sparkSession.createDataFrame(rows, "source string, target_share double, reached_share double, own_tokens double, target_tokens double, reached_tokens double, reachable boolean")
-    return _rate(pushed, names, caps), report
+    return _rate(pushed, _cap(names, caps)), report
 
 
 def mixture(docs: DataFrame, key: str, text_col: str, source_col: str, mix_table: DataFrame, path: str, size: float | None = None, trust: float = 0.98) -> tuple[DataFrame, DataFrame]:
