@@ -392,6 +392,36 @@ def test_validation_scores_every_held_out_text(spark):
     assert all(labels[1] for _, labels in late)
 
 
+def test_families_are_counted_over_all_texts(spark):
+    """Long texts and ordinary ones beyond the first thousands are part of the fit and of the counts."""
+    texts = ["系统繁忙。\n" * 4000] * 2 + ["Access denied."] * 3 + ["公司经营稳定，净利润增长了百分之五。"] * 2500 + [None, ""]
+    got = residue.validate_families(frame(spark, texts), "id", "text").collect()
+    assert sum(r.texts for r in got) == 5 and [r.families for r in got] == [15, 15, 14, 14, 14] and sum(r.false_alarms for r in got) == 0
+
+
+def test_fit_where_the_data_are_is_the_fit_in_memory(spark, monkeypatch):
+    texts = ["系统繁忙，请稍后再试。", "净利润增长了百分之五，公司经营稳定。", "金额为____元。", "公告标题", "The bonds are unsecured. Interest is paid annually."] * 40
+    docs, folds = frame(spark, [f"{t}\n第{i}号公告已经披露。" if i % 3 else t for i, t in enumerate(texts)]), residue._folds(2)
+    size, without = sum(len(r.text) for r in docs.collect()), [inside for inside, _ in folds]
+    near = residue.fit_all(docs, "id", "text", without=without)
+    monkeypatch.setattr(residue, "SLICE", size - 1)
+    far = residue.fit_all(docs, "id", "text", without=without)
+    assert near.grams.any() and near.grams.shape == (residue.BUCKETS, 6) and np.allclose(near.grams, far.grams, atol=0.05) and np.allclose(near.dense, far.dense, atol=0.05)
+    assert residue.slices(size * 7) == 6 and residue.slices(size * 1000) == 60 and residue.slices(0) == 1
+
+
+def test_labels_are_those_of_the_patterns():
+    texts = ["İ系统繁忙。TBD.", "错误 ４０４：\n\n【 】x。[INSERT NAME] {1} 𝟎", "错误 𝟒𝟎𝟒：页面", "", " \n", "a.", "[ ]", "　\n12 May 2020\n", "x\r\ny 2020年1月1日\r\n", "公司经营稳定。Lorem ipsum dolor.", "${name}与（待补充）。真实文字在这里。"]
+    for text in texts:
+        got, at = residue.labelled([text]), 0
+        for segment, labels in got:
+            at = text.index(segment, at)
+            first = at + len(segment) - len(segment.lstrip())
+            line = text[text.rfind("\n", 0, first) + 1 :].split("\n", 1)[0]
+            assert labels == tuple(map(bool, residue.weak_labels(segment, line, "lorem ipsum" in text.lower())))
+            at += len(segment)
+
+
 def test_search_scores_miss_and_find_gold(spark, tmp_path):
     passage, other = ("".join(chr(0x4E00 + 97 * i % 5000 + at) for i in range(60)) for at in (0, 7000))
     docs = [(1, "盈利情况如何" + passage), (2, "盈利情况如何"), (3, other), (4, "无关")]
